@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, minhash, mixing, quality_rules
+from siftwell.llm import chat_format, licenses, minhash, mixing, packing, quality_rules
 from siftwell.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -32,6 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_quality_rules": op10_quality_rules,
