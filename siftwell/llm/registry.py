@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, language_id, licenses, line_dedup, minhash, mixing, packing, quality_rules
+from siftwell.llm import chat_format, language_id, licenses, line_dedup, minhash, mixing, packing, quality_cnn, quality_rules
 from siftwell.llm.common import table
+from siftwell.llm.sampling import id_crc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_cnn.score(docs, quality_cnn.learn(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.pmod(id_crc("doc_id"), F.lit(4)) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_cnn": op5_quality_cnn,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_minhash_dedup": op9_minhash_dedup,
