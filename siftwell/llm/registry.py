@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, language_id, licenses, line_dedup, minhash, mixing, packing, quality_cnn, quality_rules
+from siftwell.llm import chat_format, language_id, licenses, line_dedup, minhash, mixing, packing, quality_cnn, quality_rules, vector_search
 from siftwell.llm.common import table
 from siftwell.llm.sampling import id_crc
 
@@ -34,6 +34,10 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_cnn": op5_quality_cnn,
+    "op6_vector_search": op6_vector_search,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_minhash_dedup": op9_minhash_dedup,
