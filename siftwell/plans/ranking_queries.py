@@ -1 +1,221 @@
+"""Queries of scoring, fusion, reranking and answers over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as T
+from siftwell.operators import query_text as Q
+from siftwell.operators import ranking as R
+from siftwell.plans.inputs import table
+from siftwell.plans.text_queries import _STOP
+
 QUERIES: dict = {}
+RARE, LANE, FUSED = 6, 50, 20
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f, sql
+        return f
+
+    return add
+
+
+def _inputs(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return queries, table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+
+
+def retrieval(spark, d):
+    """The flagship: passages as queries, two lanes over all documents, fused by reciprocal rank."""
+    queries, docs = _inputs(spark, d)
+    terms = R.term_lane(R.rare_terms(queries, docs, RARE), docs, LANE)
+    return R.fuse({"terms": terms, "passages": R.passage_lane(queries, docs, LANE)}, FUSED)
+
+
+TERM_LANE = f"""qt AS (SELECT item_id AS query_id, term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark) WHERE term NOT IN ({_STOP})),
+dt AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM documents) WHERE term IN (SELECT term FROM qt)),
+df AS (SELECT term, count(*) AS n FROM dt GROUP BY 1),
+rare AS (SELECT query_id, term, n FROM (SELECT query_id, term, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n, 0), term) AS r FROM qt LEFT JOIN df USING (term)) WHERE r <= {RARE}),
+ts AS (SELECT query_id, doc_id AS document_id, round(count(*) / any_value(asked), 9) AS score FROM rare JOIN dt USING (term) JOIN (SELECT query_id, count(*) AS asked FROM rare GROUP BY 1) USING (query_id) GROUP BY 1, 2),
+term_lane AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM ts) WHERE rank <= {LANE})"""
+
+
+def _windows(t: str, key: str, name: str) -> str:
+    return f"""{name} AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t})))"""
+
+
+PASSAGE_LANE = f"""{_windows("benchmark", "item_id", "qw")}, {_windows("documents", "doc_id", "dw")},
+ps AS (SELECT qw.k AS query_id, dw.k AS document_id, count(*)::DOUBLE AS score FROM qw JOIN dw USING (s) GROUP BY 1, 2),
+passage_lane AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM ps) WHERE rank <= {LANE})"""
+FUSION = f"""{TERM_LANE}, {PASSAGE_LANE}, u AS (SELECT query_id, document_id, rank, 'terms' AS lane FROM term_lane UNION ALL SELECT query_id, document_id, rank, 'passages' FROM passage_lane),
+fs AS (SELECT query_id, document_id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes FROM u GROUP BY 1, 2),
+fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM fs) WHERE rank <= {FUSED})"""
+
+
+@query("k2_rare_terms", f"WITH {TERM_LANE} SELECT * FROM rare")
+def k2r(spark, d):
+    queries, docs = _inputs(spark, d)
+    return R.rare_terms(queries, docs, RARE)
+
+
+@query("k8_lane_rank_terms", f"WITH {TERM_LANE} SELECT * FROM term_lane")
+def k8t(spark, d):
+    queries, docs = _inputs(spark, d)
+    return R.term_lane(R.rare_terms(queries, docs, RARE), docs, LANE)
+
+
+@query("k8_lane_rank_passages", f"WITH {PASSAGE_LANE} SELECT * FROM passage_lane")
+def k8p(spark, d):
+    queries, docs = _inputs(spark, d)
+    return R.passage_lane(queries, docs, LANE)
+
+
+@query("k11_rrf_fuse", f"WITH {FUSION} SELECT * FROM fused")
+def k11(spark, d):
+    return retrieval(spark, d)
+
+
+def _pairs(spark, d):
+    queries, docs = _inputs(spark, d)
+    fused = retrieval(spark, d)
+    return fused.join(queries.withColumnRenamed("text", "query_text"), "query_id").join(docs, "document_id")
+
+
+TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda x: x NOT IN (" + _STOP + "))"
+PAIRS = f"""{FUSION}, pairs AS (SELECT f.*, b.text AS query_text, d.text AS text, {TOKENS.format("b.text")} AS q, {TOKENS.format("d.text")} AS c FROM fused f JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = document_id)"""
+
+
+@query("k2_term_coverage_density", f"""WITH {PAIRS} SELECT query_id, document_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, c)) / len(q), 9) ELSE 0 END AS coverage, CASE WHEN len(c) > 0 THEN round(len(list_intersect(q, c)) / len(c), 9) ELSE 0 END AS density FROM pairs""")
+def k2(spark, d):
+    return R.coverage_density(_pairs(spark, d)).select("query_id", "document_id", "coverage", "density")
+
+
+@query("k3_phrase_score", f"WITH {PAIRS} SELECT query_id, document_id, CASE WHEN contains(lower(text), lower(query_text)) THEN 8 ELSE 0 END AS phrase FROM pairs")
+def k3(spark, d):
+    return _pairs(spark, d).select("query_id", "document_id", R.phrase_score(F.col("query_text"), F.col("text")).alias("phrase"))
+
+
+def _signals(spark, d):
+    rows = R.coverage_density(_pairs(spark, d)).withColumn("phrase", R.phrase_score(F.col("query_text"), F.col("text")))
+    overlap = R.capped_overlap(T.search_terms(F.col("query_text")), T.search_terms(F.substring("text", 1, 200)), 2.0, 12.0)
+    return rows.withColumn("head", overlap)
+
+
+SIGNALS = f"""{PAIRS}, s0 AS (SELECT *, {TOKENS.format("substr(text, 1, 200)")} AS h FROM pairs),
+signals AS (SELECT query_id, document_id, rank, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, c)) / len(q), 9) ELSE 0 END AS coverage, CASE WHEN len(c) > 0 THEN round(len(list_intersect(q, c)) / len(c), 9) ELSE 0 END AS density,
+CASE WHEN contains(lower(text), lower(query_text)) THEN 8 ELSE 0 END AS phrase, least(12.0, len(list_intersect(q, h)) * 2.0)::DOUBLE AS head FROM s0)"""
+
+
+@query("k1_hybrid_score", f"WITH {SIGNALS} SELECT query_id, document_id, round(coverage * 10 + density * 2 + phrase + head, 6) AS score FROM signals")
+def k1(spark, d):
+    return _signals(spark, d).select("query_id", "document_id", R.hybrid_score({"coverage": 10, "density": 2, "phrase": 1, "head": 1}).alias("score"))
+
+
+@query("k4_head_boost", f"WITH {SIGNALS} SELECT query_id, document_id, head FROM signals")
+def k4(spark, d):
+    return _signals(spark, d).select("query_id", "document_id", "head")
+
+
+@query("k7_explain_scores", f"""WITH {SIGNALS}, l AS (SELECT query_id, document_id, unnest([coverage, density, phrase, head]) AS v, unnest(['coverage', 'density', 'phrase', 'head']) AS s FROM signals)
+SELECT query_id, document_id, coalesce(string_agg(s, ',' ORDER BY round(v, 6) DESC, s) FILTER (WHERE round(v, 6) > 0), '') AS explanation FROM l GROUP BY 1, 2""")
+def k7(spark, d):
+    return _signals(spark, d).select("query_id", "document_id", R.explain(["coverage", "density", "phrase", "head"]).alias("explanation"))
+
+
+_PASSES = "c AS (SELECT user_id AS query_id, event_id AS candidate_id, event_id * 7 % 40 AS chunk_id, CAST(event_id % 5 AS INTEGER) AS pass_order, value > 90 AS direct FROM events)"
+
+
+def _passes(spark, d):
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("candidate_id"), (F.col("event_id") * 7 % 40).alias("chunk_id"), (F.col("event_id") % 5).cast("int").alias("pass_order"), (F.col("value") > 90).alias("direct"),
+    )
+
+
+@query("k9_direct_evidence_stop", f"""WITH {_PASSES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pass_order, candidate_id) AS r FROM c) WHERE r = 1),
+s AS (SELECT query_id, min(pass_order) FILTER (WHERE direct) AS stop FROM f GROUP BY 1) SELECT query_id, candidate_id, chunk_id, pass_order, direct FROM f JOIN s USING (query_id) WHERE stop IS NULL OR pass_order <= stop""")
+def k9(spark, d):
+    return R.direct_evidence_stop(_passes(spark, d))
+
+
+@query("k12_merge_duplicates", """WITH c AS (SELECT user_id AS query_id, event_id AS candidate_id, event_id * 7 % 40 AS chunk_id, value AS score, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS title, event_type AS reason FROM events)
+SELECT query_id, chunk_id, arg_max(candidate_id, (score, -candidate_id)) AS candidate_id, max(score) AS score, coalesce(first(title ORDER BY score DESC, candidate_id), max(title)) AS title, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM c GROUP BY ALL""")
+def k12(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("candidate_id"), (F.col("event_id") * 7 % 40).alias("chunk_id"), F.col("value").alias("score"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("title"), F.col("event_type").alias("reason"))
+    return R.merge_duplicates(rows)
+
+
+@query("k13_query_aware_order", """WITH f AS (SELECT o_custkey AS query_id, o_orderkey % 3 AS document_id, o_totalprice AS score, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders),
+t AS (SELECT *, count(DISTINCT document_id) FILTER (WHERE rank <= 3) OVER q AS n_top, max(document_id) FILTER (WHERE rank = 1) OVER q AS lead_doc, max(score) FILTER (WHERE rank = 1) OVER q AS lead_score FROM f WINDOW q AS (PARTITION BY query_id)),
+l AS (SELECT *, min(rank) FILTER (WHERE document_id <> lead_doc AND score >= 0.65 * lead_score) OVER (PARTITION BY query_id) AS lift FROM t)
+SELECT query_id, document_id, score, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n_top = 1 AND rank = lift THEN 1.5 ELSE rank END) AS INTEGER) AS place FROM l""")
+def k13(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 3).alias("document_id"), F.col("o_totalprice").alias("score"), "o_orderkey")
+    ranked = R.top_k(rows, ["query_id"], [F.desc("score"), "o_orderkey"], 1 << 30).drop("o_orderkey")
+    return R.query_aware_order(ranked)
+
+
+@query("k14_apply_rerank", f"""WITH {FUSION}, s AS (SELECT doc_id AS document_id, n_chars % 97 AS relevance FROM documents WHERE doc_id % 4 <> 0),
+j AS (SELECT f.query_id, f.document_id, f.rank, relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC NULLS LAST, rank) AS INTEGER) AS new_rank FROM fused f LEFT JOIN s USING (document_id))
+SELECT *, CASE WHEN relevance IS NULL THEN 'missing' ELSE 'ranked' END AS status, rank - new_rank AS delta FROM j""")
+def k14(spark, d):
+    fused = retrieval(spark, d).select("query_id", "document_id", "rank")
+    scores = table(spark, d, "documents").filter("doc_id % 4 != 0").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") % 97).alias("relevance"))
+    return R.apply_rerank(fused, fused.select("query_id", "document_id").join(scores, "document_id"))
+
+
+@query("k16_diversify")
+def k16(spark, d):
+    rows = _pairs(spark, d).select("query_id", "document_id", "rank", "text", (F.col("rank") == 7).alias("must_keep"))
+    return R.diversify(rows, 5)
+
+
+@query("k18_graph_seeds", f"""WITH {FUSION} SELECT query_id, document_id, CAST(place AS INTEGER) AS place FROM (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM fused LEFT JOIN labels ON doc_id = document_id WHERE coalesce(quality = 1, true)) WHERE place <= 5""")
+def k18(spark, d):
+    policy = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("ok"))
+    allowed = retrieval(spark, d).join(policy, "document_id", "left").filter(F.coalesce("ok", F.lit(True)))
+    return R.top_k(allowed, ["query_id"], ["rank"], 5, "place").select("query_id", "document_id", "place")
+
+
+@query("k20_assemble_context")
+def k20(spark, d):
+    rows = _pairs(spark, d).select("query_id", "rank", "document_id", T.estimated_tokens(F.col("text")).alias("tokens"), F.contains("text", F.col("query_text")).alias("direct"))
+    return R.assemble_context(rows, 1500)
+
+
+@query("q1_parse_query_references", "SELECT conv_id, turn, '[' || r || ']' AS reference FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[0-9]+:[0-9]+'))) AS r FROM conversations)")
+def q1(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(Q.references_in(F.col("text"))).alias("reference"))
+
+
+@query("q2_extract_word_targets", """WITH t AS (SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+')) = 1 THEN [lower(trim(text))] ELSE regexp_extract_all(lower(text), '\\b(?:word|term) ([a-z]+)', 1) END AS w FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, unnest(w) AS target, generate_subscripts(w, 1) AS i FROM t), f AS (SELECT conv_id, turn, target, min(i) AS i FROM p GROUP BY ALL)
+SELECT conv_id, turn, target FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM f) WHERE r <= 5""")
+def q2(spark, d):
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(Q.word_targets(F.col("text"))).alias("target"))
+
+
+@query("q3_verify_hypotheses", f"""WITH {PAIRS}, targets AS (SELECT query_id, term AS target FROM rare), w AS (SELECT query_id, document_id, rank, unnest(c) AS target FROM pairs), f AS (SELECT query_id, target, arg_min(document_id, rank) AS document_id FROM w GROUP BY 1, 2)
+SELECT query_id, target, document_id, CASE WHEN document_id IS NULL THEN 'not_found' ELSE 'confirmed' END AS status FROM targets LEFT JOIN f USING (query_id, target)""")
+def q3(spark, d):
+    queries, docs = _inputs(spark, d)
+    targets = R.rare_terms(queries, docs, RARE).select("query_id", F.col("term").alias("target"))
+    return R.verify_targets(targets, _pairs(spark, d).select("query_id", "rank", "document_id", "text"))
+
+
+@query("q4_evidence_first_answer", f"""WITH {FUSION}, e AS (SELECT query_id, rank, '[S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || '] ' || substr(trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g')), 1, 520) AS line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM fused JOIN documents ON doc_id = document_id)
+SELECT query_id, string_agg(line, chr(10) ORDER BY n) AS answer FROM e WHERE n <= 5 GROUP BY 1""")
+def q4(spark, d):
+    return R.evidence_answer(_pairs(spark, d).select("query_id", "rank", "text"))
+
+
+@query("q5_ground_answers", """WITH a AS (SELECT conv_id * 1000 + turn AS query_id, text || CASE WHEN turn % 3 = 0 THEN ' [S1] [S9]' WHEN turn % 3 = 1 THEN ' [S2]' ELSE '' END AS answer, CAST(turn % 4 AS INTEGER) AS available FROM conversations WHERE role = 'assistant'),
+c AS (SELECT query_id, available, list_distinct(list_transform(regexp_extract_all(answer, '\\[S([0-9]+)\\]', 1), lambda x: CAST(x AS INTEGER))) AS cited FROM a), u AS (SELECT *, list_filter(cited, lambda x: x > available) AS bad FROM c)
+SELECT query_id, CAST(len(cited) AS INTEGER) AS n_cited, CAST(len(bad) AS INTEGER) AS n_unknown, CASE WHEN len(bad) > 0 THEN 'unknown_citation' WHEN len(cited) = 0 AND available > 0 THEN 'uncited' ELSE 'grounded' END AS status FROM u""")
+def q5(spark, d):
+    c = table(spark, d, "conversations").filter("role = 'assistant'")
+    mark = F.when(F.col("turn") % 3 == 0, " [S1] [S9]").when(F.col("turn") % 3 == 1, " [S2]").otherwise("")
+    return R.ground_answers(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.col("text"), mark).alias("answer"), (F.col("turn") % 4).cast("int").alias("available")))
