@@ -25,6 +25,11 @@ def stream_ingest(docs: DataFrame, write: Callable[[DataFrame, int], None]):
     return docs.writeStream.foreachBatch(batch)
 
 
+def _late(rows: DataFrame, late: str | None) -> DataFrame:
+    """A watermark on ``ts``; watermarks want timestamps with a zone."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else rows
+
+
 def stage_state(events: DataFrame) -> DataFrame:
     """Latest stage, its time and the progress of each job; in update mode on a stream."""
     table = F.create_map(*(F.lit(x) for pair in PROGRESS.items() for x in pair))
@@ -34,7 +39,7 @@ def stage_state(events: DataFrame) -> DataFrame:
 
 def run_health(events: DataFrame, width: str = "1 day", late: str | None = "1 hour", budget: float = 50.0) -> DataFrame:
     """Runs, failures and latency of each lane and time window."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _late(events, late)
     sums = rows.groupBy(F.window("ts", width), "lane").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("lane") == "error").alias("failures"), F.count_if(F.col("value") > budget).alias("over_budget"), F.round(F.max("value"), 6).alias("slowest"),
     )
@@ -43,14 +48,14 @@ def run_health(events: DataFrame, width: str = "1 day", late: str | None = "1 ho
 
 def quality_drift(warnings: DataFrame, width: str = "1 day", late: str | None = "1 hour") -> DataFrame:
     """Warnings by source, code and window."""
-    rows = warnings.withWatermark("ts", late) if late else warnings
+    rows = _late(warnings, late)
     sums = rows.groupBy(F.window("ts", width), "source", "code").agg(F.count(F.lit(1)).alias("warnings"))
     return sums.select(F.col("window.start").alias("window_start"), "source", "code", "warnings")
 
 
 def bursts(events: DataFrame, gap: str, late: str | None = "1 hour") -> DataFrame:
     """Sessions of events of one key with gaps of at most ``gap``."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _late(events, late)
     sums = rows.groupBy(F.session_window("ts", gap), "job_id").agg(F.count(F.lit(1)).alias("events"))
     return sums.select("job_id", F.col("session_window.start").alias("start"), "events")
 
@@ -83,6 +88,6 @@ def stream_stalled_jobs(heartbeats: DataFrame, lease_ms: int, most_attempts: int
         state.update((last, stage, int(attempts)))
         state.setTimeoutTimestamp(max(last + lease_ms, state.getCurrentWatermarkMs() + 1))
 
-    return heartbeats.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(
+    return _late(heartbeats, late).groupBy("job_id").applyInPandasWithState(
         step, "job_id long, last_ts timestamp, stage string, attempts int, action string", "last long, stage string, attempts int", "append", GroupStateTimeout.EventTimeTimeout,
     )
