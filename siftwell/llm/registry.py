@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +80,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STOP_LIST = ", ".join("'" + w + "'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+_CONTROL = "|".join(re.sub(r"([\[\]|/])", r"\\\1", c) for c in chat_format.CONTROL)
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(25 + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op10_quality_rules": f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM g JOIN again USING (rid, g) CROSS JOIN (VALUES (0), (1), (2)) AS s(k) GROUP BY 1),
+lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+m AS (SELECT doc_id, len(w) AS n_words, length(list_aggregate(list_concat([''], w), 'string_agg', '')) AS word_chars, len(regexp_extract_all(text, '[{quality_rules.SYMBOLS}]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_exclaim,
+  len(list_intersect(list_distinct(w), [{_STOP_LIST}])) AS n_stop FROM w JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_symbols <= 0.1 * n_words AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words
+  AND n_upper <= 0.3 * word_chars AND n_exclaim <= 0.3 * n_words AND n_stop >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM b""",
+}
 
 
 def queries() -> dict:
