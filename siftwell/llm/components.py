@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 
 
-def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS) -> DataFrame:
     """Confirmed links ``(a, b)`` between members of the same groups, from star-shaped candidates.
 
     ``groups (key, id)``: candidates are those that share a key. ``confirm`` takes pairs ``(a, b)`` and keeps the true
@@ -62,7 +62,7 @@ def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame]) ->
     pairs = members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(confirm(pairs), "links")
     tried = materialise(pairs, "pairs")
-    for turn in range(1, HUB_ROUNDS + 1):
+    for turn in range(1, rounds + 1):
         parts = connected_components(links)
         placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         torn = placed.groupBy("key").agg(
