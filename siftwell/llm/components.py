@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
@@ -18,31 +18,44 @@ SMALL_GROUP = 12
 HUB_ROUNDS = 3
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least ``v`` of each ``u``: one exchange, and no join."""
+    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+
+
 def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges ``(u, v)`` with ``u > v``."""
+    """One large-star and one small-star step on edges ``(u, v)`` with ``u > v``.
+
+    Large-star: every larger neighbour of a vertex moves to the least of its neighbourhood. Small-star: every vertex and
+    its smaller neighbours move to the least of these.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    # Where u is the least of its neighbourhood, its edges stay; elsewhere each larger neighbour moves to the least.
-    moved = both.join(least.filter(F.col("m") < F.col("u")), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    stay = edges.join(least.filter(F.col("m") > F.col("u")).select(F.col("u").alias("v")), "v", "left_semi").select("u", "v")
-    large = moved.unionByName(stay).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    joined = large.join(low, "u")
-    small = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return small.distinct()
+    large = _least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    low = _least(large)
+    pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return low.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter(F.col("u") != F.col("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``(id, component)`` of every id in ``edges (a, b)``: the least id reachable. Any orderable type of id."""
+    """``(id, component)`` of every id in ``edges (a, b)``: the least id reachable. Any orderable type of id.
+
+    Rounds of both star steps until nothing changes; how many edges a round leaves, and a sum of their hashes, are
+    observed while it is written.
+    """
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("h")), "components")
+        return out, (seen.get["n"], seen.get["h"])
+
     clean = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialise(clean, "components")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was = mark(now)
+    now, was = written(clean)
     while was[0]:
-        now = materialise(_star(now), "components")
-        if (seen := mark(now)) == was:
+        now, mark = written(_star(now))
+        if mark == was:
             break
-        was = seen
+        was = mark
     own = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 

@@ -60,14 +60,14 @@ class ByteNetwork:
         self.prior = 0.0
         self.constant: float | None = None
 
-    def _windows(self, codes: np.ndarray) -> np.ndarray:
-        """One row of embedded bytes for each filter place. A half-chunk's last windows read into the next bytes."""
-        tail = np.concatenate((codes, np.zeros(WIDTH - STRIDE, np.uint8)))
-        parts = self.weights["embed"][tail].reshape(-1, STRIDE * EMBED)
+    @staticmethod
+    def _places(codes: np.ndarray) -> np.ndarray:
+        """The bytes of each filter place; the last ones of ``codes`` are read as if zeros followed."""
+        parts = np.concatenate((codes, np.zeros(WIDTH - STRIDE, np.uint8))).reshape(-1, STRIDE)
         return np.concatenate([parts[i : len(parts) - WIDTH // STRIDE + 1 + i] for i in range(WIDTH // STRIDE)], axis=1)
 
-    def _half_maxima(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        windows = self._windows(codes)
+    def _half_maxima(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        windows = self.weights["embed"][places].reshape(len(places), WIDTH * EMBED)
         active = windows @ self.weights["conv"]
         grouped = active.reshape(-1, HALF // STRIDE, FILTERS)
         where = grouped.argmax(axis=1)
@@ -135,9 +135,9 @@ class ByteNetwork:
 
     def _gradients(self, raws: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
-        codes = np.concatenate(raws)
+        places = np.concatenate([self._places(r) for r in raws])
         halves = np.array([len(r) // HALF for r in raws])
-        half, where, windows = self._half_maxima(codes)
+        half, where, windows = self._half_maxima(places)
         start = np.concatenate(([0], np.cumsum(halves)[:-1]))
         # chunk c of a document joins its halves c and c + 1
         inside = np.ones(len(half), bool)
@@ -169,12 +169,11 @@ class ByteNetwork:
         g_conv = np.zeros_like(w["conv"])
         place = where + (np.arange(len(half)) * (HALF // STRIDE))[:, None]
         g_embed = np.zeros_like(w["embed"])
-        padded = np.concatenate((codes, np.zeros(WIDTH - STRIDE, np.uint8)))
         for f in range(FILTERS):
             rows = place[:, f]
             g_conv[:, f] = windows[rows].T @ g_half[:, f]
         g_tokens = (g_half[:, :, None] * w["conv"].T[None].reshape(1, FILTERS, WIDTH * EMBED)).reshape(len(half), FILTERS, WIDTH, EMBED)
-        bytes_at = padded[(place[:, :, None] * STRIDE + np.arange(WIDTH)).clip(max=len(padded) - 1)]
+        bytes_at = places[place]
         for e in range(EMBED):
             g_embed[:, e] = np.bincount(bytes_at.ravel(), g_tokens[:, :, :, e].ravel(), minlength=256)
         g_embed[0] = 0  # padding
