@@ -13,6 +13,7 @@ MODULES = [
     "siftwell.plans.ranking_queries",
     "siftwell.plans.aggregate_queries",
     "siftwell.plans.window_queries",
+    "siftwell.plans.evidence_queries",
 ]
 
 
