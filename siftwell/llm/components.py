@@ -60,39 +60,49 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 
 
-def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Confirmed links ``(a, b)`` between members of the same groups, from star-shaped candidates.
+def cross_pairs(left: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of one key and different components, of ``left (key, id, component)``."""
+    other = left.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+    return left.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b")
+
+
+def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS, rest: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
+    """Confirmed links ``(a, b)`` between members of the same groups: two members that share a key and are like each
+    other are linked or in one component.
 
     ``groups (key, id)``: candidates are those that share a key. ``confirm`` takes pairs ``(a, b)`` and keeps the true
     ones. Round 0 pairs each member with its group's least id, so a group of n gives n - 1 pairs. A hub need not be
     like all members, so further rounds look at the groups that still span several components: small groups pair all
-    members of different components; in larger ones another member, drawn by hash, becomes the hub. Copies must be
-    folded before: then what is in one group by chance or by a shared passage alone shares few groups, and true
-    partners meet in many groups of few members.
+    members of different components; in larger ones another member, drawn by a hash of the key, becomes the hub. Large
+    groups that still span several components after the rounds go to ``rest (key, id, component)``, which must return
+    every pair of a key and different components that ``confirm`` could keep.
     """
     sizes = groups.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(groups.join(sizes, "key"), "group-members")
     pairs = members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(confirm(pairs), "links")
     tried = materialise(pairs, "pairs")
-    for turn in range(1, rounds + 1):
+
+    def torn_groups(turn: int) -> DataFrame:
         parts = connected_components(links)
         placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         torn = placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("to")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(turn))).alias("to")
         ).filter("low != high").select("key", "to")
-        placed = materialise(placed.join(torn, "key"), "torn-groups")
+        return placed.join(torn, "key")
+
+    def untried(found: DataFrame) -> DataFrame:
+        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialise(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    for turn in range(1, rounds + 1):
+        placed = materialise(torn_groups(turn), "torn-groups")
         large = placed.filter((F.col("n") > SMALL_GROUP) & (F.col("to.component") != F.col("component"))).select(F.col("to.id").alias("a"), F.col("id").alias("b"))
-        few = placed.filter(F.col("n") <= SMALL_GROUP).select("key", "id", "component")
-        other = few.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-        small = few.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b")
-        fresh = (large if turn > 1 else large.unionByName(small)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = materialise(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        more = materialise(confirm(fresh), "links")
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-    return links
+        fresh = untried(large if turn > 1 else large.unionByName(cross_pairs(placed.filter(F.col("n") <= SMALL_GROUP).select("key", "id", "component"))))
+        if not fresh.isEmpty():
+            links = links.unionByName(materialise(confirm(fresh), "links"))
+            tried = tried.unionByName(fresh)
+    left = materialise(torn_groups(0).filter(F.col("n") > (SMALL_GROUP if rounds else 1)).select("key", "id", "component"), "torn-groups")
+    if left.isEmpty():
+        return links
+    return links.unionByName(materialise(confirm(untried(rest(left))), "links"))

@@ -5,7 +5,9 @@
    first non-empty range on a fixed random walk of their own (optimal densification), so equal ranges keep colliding
    with the probability of the Jaccard similarity. ``ROWS`` values make the key of a band.
 2. Copies (equal word sequences) are folded by digest with a partial aggregate; one of each goes on.
-3. Members of a bucket are joined to the bucket's hub only (see :func:`link_groups`), so n members give n - 1 pairs.
+3. Members of a bucket are joined to a few hubs of the bucket (see :func:`link_groups`), so n members give n - 1 pairs a
+   round. Members of buckets that still span several components are then joined exactly, by a prefix and positional
+   filter on their full sets (:func:`prefix_pairs`).
 4. Pairs are confirmed on the full sets of shingle hashes; links give connected components.
 
 With 32 bands of 5 values two sets of similarity 0.8 miss each other in all bands with a probability of 3e-6.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
@@ -106,6 +108,23 @@ def semi_join_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(keys, F.col(id_col) == F.col("_key"), "left_semi")
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components, among them all of a similarity of ``percent`` or more.
+
+    ``sets (id, component, hashes)``. In one order of all values, rare ones first, such sets share a value within their
+    first ``n - ceil(n * percent / 100) + 1``; the sizes and the places of that value bound what they can share.
+    """
+    values = sets.select("id", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    spread = values.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    placed = values.join(spread, "value").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "value")))
+    placed = materialise(placed.filter(f"df > 1 and at <= n - ({percent} * n + 99) div 100 + 1").drop("df"), "prefixes")
+    a = placed.select("value", F.col("id").alias("a"), F.col("component").alias("part_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    b = placed.select("value", F.col("id").alias("b"), F.col("component").alias("part_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    differ = F.expr("a < b and part_a != part_b")
+    able = F.expr(f"{100 + percent} * (1 + least(n_a - at_a, n_b - at_b)) >= {percent} * (n_a + n_b)")
+    return a.join(b, "value").filter(differ & able).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``.
 
@@ -130,7 +149,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         near = 100 * both >= percent * (F.size("left") + F.size("right") - both)
         return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
 
-    links = link_groups(groups, confirm)
+    def rest(left: DataFrame) -> DataFrame:
+        return prefix_pairs(sets.join(left.select("id", "component").distinct(), "id"), percent)
+
+    links = link_groups(groups, confirm, rest=rest)
     same_id = filled.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
     own = filled.join(same_id, "doc_id").join(classes.select("digest", "class"), "digest").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
     parts = materialise(connected_components(links.unionByName(own)), "parts")
