@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siftwell.llm import components, minhash
+from siftwell.llm import components, line_dedup, minhash
 
 
 def families(rng):
@@ -37,3 +37,17 @@ def test_large_groups_are_whole(spark):
         assert got == true
     found = {(r["a"], r["b"]) for r in minhash.prefix_pairs(rows.withColumn("component", F.col("id")), 80).collect()}
     assert true <= found and len(found) < 400
+
+
+def test_large_line_groups_are_whole(spark, monkeypatch):
+    """One key shared by 40 pairs of near copies that are like no hub: each pair within ``MAX_BITS`` must be linked."""
+    monkeypatch.setattr(line_dedup, "block_keys", lambda sim: F.array(F.lit(1).cast("long")))
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        w = [f"word{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:50], "other", *w[51:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sims = {r["doc_id"]: r["sim"] for r in line_dedup.with_simhash(df, line_dedup.features(F.col("text")), ["doc_id"]).collect()}
+    near = {2 * i + 1 for i in range(40) if ((sims[2 * i] ^ sims[2 * i + 1]) % 2**64).bit_count() <= line_dedup.MAX_BITS}
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(df).filter("n_dropped > 0").collect()}
+    assert got == near and len(near) > 20
