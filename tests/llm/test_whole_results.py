@@ -39,6 +39,17 @@ def test_large_groups_are_whole(spark):
     assert true <= found and len(found) < 400
 
 
+def test_simhash_of_very_long_lines(spark):
+    """Every word of a line of more than two lanes counts: the bits are those of all words."""
+    words = [f"w{i % 977}" for i in range(2 * line_dedup.LANE + 11)]
+    df = spark.createDataFrame([(1, words), (2, words[:50]), (3, None)], "id long, words array<string>")
+    got = {r["id"]: r["sim"] for r in line_dedup.with_simhash(df, F.col("words"), ["id"]).collect()}
+    hashes = {r["w"]: r["h"] for r in df.filter("id = 1").select(F.explode("words").alias("w")).distinct().withColumn("h", F.xxhash64("w")).collect()}
+    sim = lambda own: sum(1 << b for b in range(64) if sum(hashes[w] >> b & 1 for w in own) > len(own) // 2)
+    assert set(got) == {1, 2, 3} and got[3] is None
+    assert got[1] % 2**64 == sim(words) and got[2] % 2**64 == sim(words[:50])
+
+
 def test_large_line_groups_are_whole(spark, monkeypatch):
     """One key shared by 40 pairs of near copies that are like no hub: each pair within ``MAX_BITS`` must be linked."""
     monkeypatch.setattr(line_dedup, "block_keys", lambda sim: F.array(F.lit(1).cast("long")))
