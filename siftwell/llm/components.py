@@ -1,14 +1,15 @@
 """Connected components and star-shaped candidate links, for the near-duplicate operators.
 
 Everything here is joins and partial aggregates on narrow rows; each round's edges are written to the shared folder,
-which cuts the lineage, and only counts reach the driver.
+which cuts the lineage, and only counts reach the driver. A hub may stand in a third of all rows: least neighbours and
+group sizes are partial aggregates, and they are joined back by :func:`join_sums`, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
@@ -18,22 +19,28 @@ SMALL_GROUP = 12
 HUB_ROUNDS = 3
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges with ``m``, the least ``v`` of each ``u``: one exchange, and no join."""
-    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+def join_sums(rows: DataFrame, sums: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with an aggregate of one row for each ``key``.
+
+    The join is by a hash of the key. An aggregate is already dealt out by its key, and a join on that key would read it
+    as it lies, so that the partition of a hot key couldn't be split; this way both sides are dealt out for the join.
+    """
+    mine = sums.select(F.xxhash64(key).alias("_at"), F.col(key).alias("_key"), *(c for c in sums.columns if c != key))
+    return rows.join(mine, (F.xxhash64(key) == F.col("_at")) & (F.col(key) == F.col("_key")), how).drop("_at", "_key")
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges ``(u, v)`` with ``u > v``.
+    """One small-star and one large-star step on edges ``(u, v)`` with ``u > v``.
 
-    Large-star: every larger neighbour of a vertex moves to the least of its neighbourhood. Small-star: every vertex and
-    its smaller neighbours move to the least of these.
+    Small-star: a vertex and its smaller neighbours move to the least of these. Large-star: every larger neighbour of a
+    vertex moves to the least of its neighbourhood, which is its own smaller neighbour, if it has one.
     """
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    low = _least(large)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = join_sums(edges, least, "u")
     pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-    return low.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter(F.col("u") != F.col("v")).distinct()
+    small = low.select(F.explode(pairs).alias("p")).select("p.u", "p.v").filter(F.col("u") != F.col("v")).distinct()
+    up = small.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+    return join_sums(small, up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -60,36 +67,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own)
 
 
+def with_hubs(rows: DataFrame) -> DataFrame:
+    """``rows (key, id, ...)`` of the keys of two ids or more, with ``n``, how many ids the key has, and ``hub``, the least."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    return join_sums(rows, sizes, "key")
+
+
 def cross_pairs(left: DataFrame) -> DataFrame:
     """All pairs ``(a, b)`` of one key and different components, of ``left (key, id, component)``."""
     other = left.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
     return left.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("id").alias("a"), "b")
 
 
-def link_groups(groups: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS, rest: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
+def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = HUB_ROUNDS, rest: Callable[[DataFrame], DataFrame] = cross_pairs) -> DataFrame:
     """Confirmed links ``(a, b)`` between members of the same groups: two members that share a key and are like each
     other are linked or in one component.
 
-    ``groups (key, id)``: candidates are those that share a key. ``confirm`` takes pairs ``(a, b)`` and keeps the true
+    ``members (key, id, n, hub)`` are rows of :func:`with_hubs`, written. ``confirm`` takes pairs ``(a, b)`` and keeps the true
     ones. Round 0 pairs each member with its group's least id, so a group of n gives n - 1 pairs. A hub need not be
     like all members, so further rounds look at the groups that still span several components: small groups pair all
     members of different components; in larger ones another member, drawn by a hash of the key, becomes the hub. Large
     groups that still span several components after the rounds go to ``rest (key, id, component)``, which must return
     every pair of a key and different components that ``confirm`` could keep.
     """
-    sizes = groups.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(groups.join(sizes, "key"), "group-members")
-    pairs = members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialise(members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialise(confirm(pairs), "links")
-    tried = materialise(pairs, "pairs")
+    tried = pairs
 
     def torn_groups(turn: int) -> DataFrame:
         parts = connected_components(links)
-        placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
         torn = placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(turn))).alias("to")
         ).filter("low != high").select("key", "to")
-        return placed.join(torn, "key")
+        return join_sums(placed, torn, "key")
 
     def untried(found: DataFrame) -> DataFrame:
         fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -4,7 +4,8 @@
    ranges and the least hash of each range is a signature value (one permutation). Empty ranges copy the value of the
    first non-empty range on a fixed random walk of their own (optimal densification), so equal ranges keep colliding
    with the probability of the Jaccard similarity. ``ROWS`` values make the key of a band.
-2. Copies (equal word sequences) are folded by digest with a partial aggregate; one of each goes on.
+2. Copies (equal word sequences) are folded by digest with a partial aggregate; each digest gets a
+   number that stands for its copies from here on, so an id with several texts takes part with each of them.
 3. Members of a bucket are joined to a few hubs of the bucket (see :func:`link_groups`), so n members give n - 1 pairs a
    round. Members of buckets that still span several components are then joined exactly, by a prefix and positional
    filter on their full sets (:func:`prefix_pairs`).
@@ -13,8 +14,8 @@
 With 32 bands of 5 values two sets of similarity 0.8 miss each other in all bands with a probability of 3e-6.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text shorter than a shingle is
-one shingle; rows of one id count as one document; rows without an id are kept and have no component; an empty table
-gives an empty result; other columns of the input are ignored.
+one shingle; rows of one id count as one document, which is linked with whatever any of its texts is like; rows without
+an id are kept and have no component; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import materialise
-from siftwell.llm.components import connected_components, link_groups
+from siftwell.llm.components import connected_components, join_sums, link_groups, with_hubs
 from siftwell.llm.hashing import mixed, sequence_digest, shingle_set, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -89,15 +90,15 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, hashes`` (sorted, distinct) of each row."""
+    """``digest, hashes`` (sorted, distinct) of each row with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(word_hashes(t.as_py()), width).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+            words = [w for w in (word_hashes(t.as_py()) for t in batch.column(0)) if len(w)]
+            columns = [pa.array(map(sequence_digest, words), pa.binary()), pa.array([shingle_set(w, width).view(np.int64) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "hashes"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, hashes array<long>")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, hashes array<long>")
 
 
 def semi_join_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -132,15 +133,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     sketch = materialise(sketches(docs, width, id_col, text_col), "sketches")
     filled = sketch.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    keys = classes.select(F.col("class").alias("id"), F.explode("bands").alias("key")).select("key", "id")
-
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    groups = materialise(keys.join(shared, "key"), "buckets")
-    ids = materialise(groups.select("id").distinct(), "bucket-ids")
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = materialise(with_hubs(classes.select(F.explode("bands").alias("key"), "id")), "buckets")
+    wanted = materialise(classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "least"), "bucket-classes")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(shingle_sets(semi_join_ids(slim, ids, "doc_id"), width).dropDuplicates(["id"]), "sets")
+    sets = shingle_sets(semi_join_ids(slim, wanted.select(F.col("least").alias("id")).distinct(), "doc_id"), width)
+    sets = materialise(sets.dropDuplicates(["digest"]).join(wanted.select("digest", "id"), "digest").select("id", "hashes"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
@@ -152,13 +151,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def rest(left: DataFrame) -> DataFrame:
         return prefix_pairs(sets.join(left.select("id", "component").distinct(), "id"), percent)
 
-    links = link_groups(groups, confirm, rest=rest)
-    same_id = filled.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
-    own = filled.join(same_id, "doc_id").join(classes.select("digest", "class"), "digest").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    parts = materialise(connected_components(links.unionByName(own)), "parts")
-
-    labels = classes.join(parts.select(F.col("id").alias("class"), "component"), "class", "left")
-    labels = labels.filter("n > 1 or component is not null").select("digest", F.coalesce("component", "class").alias("component_id"))
+    links = link_groups(members, confirm, rest=rest)
+    # Texts of one id are one document: each is linked with the id's first one.
+    several = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    texts = filled.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
+    own = texts.join(texts.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    parts = connected_components(links.unionByName(own))
+
+    parts = classes.join(parts, "id", "left").filter("n > 1 or component is not null").select("digest", "least", "component")
+    parts = materialise(parts, "parts")
+    whole = parts.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = join_sums(parts, whole, "component", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(materialise(labels, "labels"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

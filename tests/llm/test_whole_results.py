@@ -1,7 +1,9 @@
 """What bounded candidates used to drop: results against brute force without the bounds."""
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import components, line_dedup, minhash
@@ -33,7 +35,7 @@ def test_large_groups_are_whole(spark):
     assert len(true) == 60
     prefixes = lambda left: minhash.prefix_pairs(rows.join(left.select("id", "component").distinct(), "id"), 80)
     for rest in (prefixes, components.cross_pairs):
-        got = {(r["a"], r["b"]) for r in components.link_groups(groups, confirm, rest=rest).collect()}
+        got = {(r["a"], r["b"]) for r in components.link_groups(components.with_hubs(groups), confirm, rest=rest).collect()}
         assert got == true
     found = {(r["a"], r["b"]) for r in minhash.prefix_pairs(rows.withColumn("component", F.col("id")), 80).collect()}
     assert true <= found and len(found) < 400
@@ -51,14 +53,41 @@ def test_simhash_of_very_long_lines(spark):
 
 
 def test_large_line_groups_are_whole(spark, monkeypatch):
-    """One key shared by 40 pairs of near copies that are like no hub: each pair within ``MAX_BITS`` must be linked."""
-    monkeypatch.setattr(line_dedup, "block_keys", lambda sim: F.array(F.lit(1).cast("long")))
+    """One key shared by 40 pairs of near copies that are like no hub: each pair must be linked."""
+    monkeypatch.setattr(line_dedup, "block_keys", lambda hashes: F.array(F.lit(1).cast("long")))
     rng, rows = random.Random(5), []
     for i in range(40):
         w = [f"word{rng.randrange(10**6)}" for _ in range(100)]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:50], "other", *w[51:]]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sims = {r["doc_id"]: r["sim"] for r in line_dedup.with_simhash(df, line_dedup.features(F.col("text")), ["doc_id"]).collect()}
-    near = {2 * i + 1 for i in range(40) if ((sims[2 * i] ^ sims[2 * i + 1]) % 2**64).bit_count() <= line_dedup.MAX_BITS}
     got = {r["doc_id"] for r in line_dedup.dedup_lines(df).filter("n_dropped > 0").collect()}
-    assert got == near and len(near) > 20
+    assert got == {2 * i + 1 for i in range(40)}
+
+
+def test_very_common_passage_in_lines(spark):
+    """A passage in 90 lines of their own, 20 variants of one more line that holds it, and pairs elsewhere."""
+    rng, rows = random.Random(9), []
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = own(20), own(30)
+    rows = [(i, " ".join([*own(rng.randrange(30, 90)), *passage, *own(10)])) for i in range(90)]
+    for i in range(100, 120):
+        text = [*passage, *base]
+        text[rng.randrange(50)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    for i in range(90):  # each of the lines once more, with two words changed
+        text = rows[i][1].split(" ")
+        text[3], text[-3] = "y", "z"
+        rows.append((200 + i, " ".join(text)))
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").collect()}
+    assert got == {*range(101, 120), *range(200, 290)}
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(4)))[::5])
+def test_an_id_with_two_texts(spark, order):
+    """Both texts of the id take part, whatever order the rows come in."""
+    rng = random.Random(3)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b[:-1], "q"])), (3, " ".join([*a[:-1], "q"]))]
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")
+    got = minhash.near_duplicates(df, width=4).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
