@@ -2,11 +2,13 @@
 
 1. Documents become pieces in one pass over the texts; only documents longer than a sequence are cut, with the shorter
    piece first. Pieces of full length are sequences of their own.
-2. The rest is spread by hash over partitions of bounded size, and each task packs its pieces best-fit decreasing. Bins
-   that are nearly full are emitted; the emptiest of the others, ``CARRY`` at most, go on.
-3. A tree of rounds merges the bins that went on, ``FAN`` tasks into one, as items of further best-fit rounds. A task of
-   any round holds ``FAN * CARRY`` bins at most, so nothing ever meets in one place however large the input is. Each
-   round is written to the shared folder.
+2. The rest is dealt by hash into groups of about ``ITEMS_PER_GROUP``, and each is packed best-fit decreasing. Bins that
+   are nearly full are emitted; all others go on.
+3. A tree of rounds merges the bins that went on, as items of further best-fit rounds, again in groups of about
+   ``ITEMS_PER_GROUP`` bins: so many groups of the round before come together in one as their bins leave room for. So a
+   group's memory is bounded however large the input is, and no bin is left out. The last round is that of a single
+   group, or the one that leaves more than ``STALLED`` of its bins (bins over half full, say, that nothing fits into).
+   Each round is written to the shared folder.
 
 Defined results: a null text counts as empty, and an empty text is one piece of one token (the end mark); repeated rows
 are packed once each; an empty table gives an empty result; other columns of the input are ignored.
@@ -23,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,8 @@ from siftwell.llm.common import materialise
 
 LENGTH = 2048
 END_ID = 0
-ITEMS_PER_TASK = 40_000
-FAN = 8
-CARRY = 512
+ITEMS_PER_GROUP = 40_000
+STALLED = 0.98
 #: A bin with so few places left is nearly full.
 SLACK = 8
 
@@ -49,19 +49,20 @@ def _load(json_name: str, ranks_name: str) -> tuple:
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(public_tokenizers.path(json_name))
-        exact.encode_special_tokens = True
+        special = [t.content for t in exact.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(ranks_name), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _loaded[json_name] = exact, fast
+        _loaded[json_name] = exact, fast, special
     return _loaded[json_name]
 
 
 def token_ids(text: str, json_name: str = "byte_bpe_50k.json", ranks_name: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
     """Ids of the vocabulary in ``json_name``. Plain texts are encoded from the same vocabulary as ranks, which gives
-    the same ids in a third of the time."""
-    exact, fast = _load(json_name, ranks_name)
-    ids = fast.encode_ordinary(text) if _PLAIN.fullmatch(text) else exact.encode(text, add_special_tokens=False).ids
+    the same ids in a third of the time. Texts that spell a special token get its id, as the library has it by default."""
+    exact, fast, special = _load(json_name, ranks_name)
+    plain = _PLAIN.fullmatch(text) and not any(t in text for t in special)
+    ids = fast.encode_ordinary(text) if plain else exact.encode(text, add_special_tokens=False).ids
     return np.array(ids, "<u4")
 
 
@@ -110,33 +111,26 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, places, np.array(fills, np.int64)
 
 
-def _round(rows: DataFrame, turn: int, tasks: int, last: bool, length: int, sort_by: list[str]) -> DataFrame:
-    """Pack what ``rows`` has in each partition. ``bin`` and ``at`` are the bin of the round before and the place in it."""
+def _round(rows: DataFrame, turn: int, groups: int, last: bool, length: int, sort_by: list[str]) -> DataFrame:
+    """Pack what ``rows`` has in each group. ``bin`` and ``at`` are the bin of the round before and the place in it;
+    pieces of one bin are in one group."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        task = TaskContext.get().partitionId()
-        own = pd.concat(parts, ignore_index=True).sort_values(sort_by, kind="stable", ignore_index=True)
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(sort_by, kind="stable", ignore_index=True)
         codes, _ = pd.factorize(own["bin"])
         sizes = np.bincount(codes, weights=own["length"]).astype(np.int64)
         bins, places, fills = best_fit(sizes, length)
-        roomy = np.flatnonzero(fills < length - SLACK)
-        going = np.zeros(len(fills), bool)
-        if not last:
-            going[roomy[np.argsort(fills[roomy], kind="stable")][:CARRY]] = True
+        going = (fills < length - SLACK) & (not last)
         own["at"] = own["at"].to_numpy() + places[codes]
-        own["bin"] = (turn << 56) + (task << 32) + bins[codes]
+        own["bin"] = (turn << 56) + (int(key[0]) << 32) + bins[codes]
         own["going"] = going[bins[codes]]
-        own["task"] = task // FAN
-        yield own
+        return own
 
-    dealt = rows.repartition(tasks, "task") if turn else rows.repartition(tasks, F.xxhash64(*sort_by))
-    return dealt.mapInPandas(run, rows.schema)
+    by = F.pmod(F.xxhash64(*sort_by) if turn == 0 else F.xxhash64("bin", F.lit(turn)), F.lit(groups))
+    return rows.withColumn("group", by.cast("long")).groupBy("group").applyInPandas(run, rows.withColumn("group", F.lit(0).cast("long")).schema)
 
 
-def pack(items: DataFrame, length: int = LENGTH, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
+def pack(items: DataFrame, length: int = LENGTH, items_per_group: int = ITEMS_PER_GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``length``.
 
     Other columns are carried along; rows with equal values in all of them are interchangeable.
@@ -144,19 +138,18 @@ def pack(items: DataFrame, length: int = LENGTH, items_per_task: int = ITEMS_PER
     sort_by = [f.name for f in items.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
     full = items.filter(F.col("length") >= length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = items.filter(F.col("length") < length)
-    tasks, turn = max(1, math.ceil(rest.count() / items_per_task)), 0
-    rows = rest.withColumns({"bin": F.monotonically_increasing_id(), "at": F.lit(0).cast("long"), "going": F.lit(True), "task": F.lit(0)})
-    done = []
+    rows = rest.withColumns({"bin": F.monotonically_increasing_id(), "at": F.lit(0).cast("long"), "going": F.lit(True)})
+    n, turn, out = rest.count(), 0, full
     while True:
-        rows = materialise(_round(rows, turn, tasks, tasks == 1, length, sort_by), f"pack-{turn}")
-        done.append(rows.filter(~F.col("going")) if tasks > 1 else rows)
-        if tasks == 1:
-            break
-        rows, tasks, turn = rows.filter("going"), math.ceil(tasks / FAN), turn + 1
-    out = full
-    for part in done:
-        out = out.unionByName(part.select(*items.columns, F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
-    return out
+        groups = max(1, math.ceil(n / items_per_group))
+        rows = materialise(_round(rows, turn, groups, groups == 1, length, sort_by).drop("group"), f"pack-{turn}")
+        left = rows.filter(F.col("going") & (F.col("at") == 0)).count()  # one row is first in each bin
+        over = not left or left > STALLED * n
+        done = rows if over else rows.filter(~F.col("going"))
+        out = out.unionByName(done.select(*items.columns, F.col("bin").alias("sequence_id"), F.col("at").alias("offset")))
+        if over:
+            return out
+        rows, n, turn = rows.filter("going"), left, turn + 1
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
