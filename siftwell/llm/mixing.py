@@ -1,18 +1,19 @@
 """Mix sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words (water filling: shares by weight, no source above ``max_repeats`` times its
-size). A document's expected number of copies is its source's ratio of target to size (times its own weight, if one is
-given). The whole part of that number is taken for certain; the fraction is the inclusion probability of one copy
-more. Documents are ranked by random odds over inclusion odds, and the first ranks whose words fill what the certain
-copies leave of the target are taken.
+size). Within a source a document's expected number of copies is in proportion to its weight, ``max_repeats`` at most
+(water filling again, so that the source's expected words are its target). The whole part of that number is taken for
+certain; the fraction is the inclusion probability of one copy more. Documents are ranked by random odds over inclusion
+odds, and the first ranks whose words fill what the certain copies leave of the target are taken.
 
 A source may hold a third of all rows: ranks are never sorted source by source. Ranks fall into ``BUCKETS`` ranges;
 words are summed by (source, range) with partial aggregates, the running sum goes over this small table, and only the
 one range of each source in which the target is reached is ordered row by row.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, last in the
-order of sources; equal rows share a rank and fall to either side in any order (their multiset is the same on each
-run); an empty table gives an empty result; columns of the input with the names of results are replaced.
+order of sources; a null weight counts as 1 and one below 0 as 0, and a document of weight 0 is taken only if its source
+can't do without it; rows that are equal in id, source and text share a rank and are taken alike, so reruns agree; an empty
+table gives an empty result; columns of the input with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import WORD, materialise
 
 BUCKETS = 4096
+#: Weights count in so many steps from one power of two to the next, so that few of them differ.
+STEPS = 8
 RESULTS = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -53,28 +56,48 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_rep
     return per.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def length_odds(text_col: str = "text") -> Column:
+    """A weight that rises with the length of a text: twice the characters add 1 to it."""
+    return F.log2(2.0 + F.coalesce(F.char_length(text_col), F.lit(0)))
+
+
 def _unit(*cols: Column) -> Column:
     """A number strictly between 0 and 1 that depends on the columns only."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: int) -> dict[str, Column]:
+def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | Column | None, seed: int) -> dict[str, Column]:
     text = F.col(text_col)
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
+    weight = F.lit(1.0) if weight_col is None else F.coalesce((F.col(weight_col) if isinstance(weight_col, str) else weight_col).cast("double"), F.lit(1.0))
+    step = F.round(STEPS * F.log2(F.when(weight > 0, weight)))
     return {
         "_source": F.col(source_col),
         "_size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
-        "_weight": F.greatest(weight, F.lit(0.0)),
+        "_weight": F.coalesce(F.pow(F.lit(2.0), step / STEPS), F.lit(0.0)),
         "_hash": F.xxhash64(F.col(id_col), F.col(source_col), text),
         "_u": _unit(F.col(id_col), text, F.lit(seed)),
     }
 
 
+def _scales(slim: DataFrame, targets: DataFrame, max_repeats: int) -> DataFrame:
+    """``targets`` with ``scale``: a document's expected copies are ``scale`` times its weight, ``max_repeats`` at most; null
+    if all are taken so often. A table of one row for each source and weight, by falling weight: those that reach
+    ``max_repeats`` are the first ones, and the scale is what the target leaves to the others."""
+    per = slim.groupBy(F.col("_source").alias("w"), "_weight").agg(F.sum("_size").alias("words")).join(targets, F.col("w").eqNullSafe(F.col("s")))
+    falling = Window.partitionBy("s").orderBy(F.desc("_weight"))
+    before = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum(F.col("words") * F.col("_weight")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    per = per.withColumn("scale", F.when(left > 0, (F.col("target") - max_repeats * before) / left))
+    fits = per.filter(F.col("scale") * F.col("_weight") <= max_repeats).groupBy(F.col("s").alias("f")).agg(F.max_by("scale", "_weight").alias("scale"))
+    return targets.join(fits, F.col("s").eqNullSafe(F.col("f")), "left").drop("f")
+
+
 def _ranked(rows: DataFrame, per: DataFrame, max_repeats: int) -> DataFrame:
     """Join the sources' figures and add certain copies, rank and range. Rows with no chance of one copy more get
     negative ranges, spread by hash, so that they never meet in one task."""
     rows = rows.join(per, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s")
-    expected = F.when(F.col("weighed_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") * F.col("_weight") / F.col("weighed_size"))).otherwise(0.0)
+    most = F.when(F.col("_weight") > 0, F.lit(float(max_repeats))).otherwise(0.0)
+    expected = F.coalesce(F.least(F.lit(float(max_repeats)), F.col("scale") * F.col("_weight")), most)
     rows = rows.withColumn("_expected", expected)
     rows = rows.withColumns({"_certain": F.floor("_expected").cast("long"), "_p": F.col("_expected") - F.floor("_expected")})
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
@@ -84,12 +107,11 @@ def _ranked(rows: DataFrame, per: DataFrame, max_repeats: int) -> DataFrame:
 
 
 def _marks(slim: DataFrame, cycle: tuple[int, ...], max_repeats: int) -> DataFrame:
-    """One row per source: ``s, source_size, target, weighed_size, edge, last``. Ranges below ``edge`` are taken, and
+    """One row per source: ``s, source_size, target, scale, edge, last``. Ranges below ``edge`` are taken, and
     in ``edge`` what ranks up to ``last``."""
     sizes = slim.select(F.col("_source").alias("source"), F.col("_size").alias("size"))
-    weighed = slim.groupBy(F.col("_source").alias("s")).agg(F.sum(F.col("_size") * F.col("_weight")).alias("weighed_size"))
-    per = source_targets(sizes, cycle, max_repeats).join(weighed, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    per = materialise(per.withColumnRenamed("source", "s"), "mix-targets")
+    targets = materialise(source_targets(sizes, cycle, max_repeats).withColumnRenamed("source", "s"), "mix-targets")
+    per = materialise(_scales(slim, targets, max_repeats), "mix-scales")
     ranked = _ranked(slim, per, max_repeats)
 
     ranges = ranked.groupBy(F.col("_source").alias("r"), F.col("_bucket").alias("b")).agg(F.sum(F.col("_certain") * F.col("_size")).alias("sure"), F.sum("_size").alias("words"), F.first("target").alias("t"))
@@ -125,7 +147,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weight_col: str | None = None,
+    weight_col: str | Column | None = None,
     cycle: tuple[int, ...] = (1, 2, 3),
     max_repeats: int = 3,
     seed: int = 17,
@@ -141,7 +163,7 @@ def mix_sources(
 
 
 def mixed_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | Column | None = None,
     cycle: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17,
 ) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it, with the columns of ``docs``.
