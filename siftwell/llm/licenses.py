@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ascii_lower, let
+from siftwell.llm.common import ascii_lower, let, materialise
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 MAX_POSTINGS = 100_000
+#: So many rows (16 MB of hashes) may be broadcast to prune a scan; beyond, the scan is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 # Phrases of the contract and their labels.
 BASE_PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -57,17 +59,14 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return rows.select("template", "label", F.array_distinct("words").alias("tokens"), window.alias("window"))
 
 
-def token_order(words: DataFrame, templates: DataFrame) -> DataFrame:
-    """``token, rank``: the templates' tokens by the number of documents that hold them, rarest first.
+def token_order(held: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``token, rank``: the templates' tokens by the number of rows that hold them, rarest first.
 
-    ``words`` has an array column of that name. Rows shuffled: one per token and task, after a partial aggregate.
+    ``held`` has ``tokens``, those of the vocabulary that the row holds. One row per token and task is shuffled.
     """
-    vocabulary = templates.select(F.explode("tokens").alias("token")).distinct()
-    wanted = [r["token"] for r in vocabulary.sort("token").collect()]  # as long as the template table
-    held = words.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, wanted)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    counts = dict(held.collect())  # at most one row per template token
-    order = sorted(wanted, key=lambda t: (counts.get(t, 0), t))
-    return words.sparkSession.createDataFrame(list(zip(order, range(len(order)), strict=True)), "token string, rank int")
+    counts = dict(held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect())  # at most one row per template token
+    order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
+    return held.sparkSession.createDataFrame(list(zip(order, range(len(order)), strict=True)), "token string, rank int")
 
 
 def postings(templates: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
@@ -79,27 +78,52 @@ def postings(templates: DataFrame, order: DataFrame, threshold: float) -> DataFr
     return prefix.select(F.col("p.token").alias("token"), F.col("p.rank").alias("rank"), "template", "label", "needed", "window", "tokens", F.col("ordered").alias("ranks"))
 
 
-def matching_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """Every block that meets a template: the columns of ``docs`` but the text, and ``template, label, first_word, containment``."""
+def vocabulary_of(templates: DataFrame) -> list[str]:
+    """The templates' tokens, as many as the template table has."""
+    return [r["token"] for r in templates.select(F.explode("tokens").alias("token")).distinct().sort("token").collect()]
+
+
+def _tokens_held(words: Column, vocabulary: list[str]) -> Column:
+    return F.array_intersect(words, F.array(*map(F.lit, vocabulary)).cast("array<string>"))
+
+
+def blocks_met(docs: DataFrame, posts: DataFrame, text_col: str) -> DataFrame:
+    """Every block of ``docs`` that meets a template, by the templates' prefix tokens ``posts``.
+
+    Blocks around prefix tokens are cut out of the text, each as its different words, before anything is joined.
+    """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    words = docs.select(*others, license_words(F.col(text_col)).alias("words"))
-    posts = postings(templates, token_order(words, templates), threshold)
     rare = [r["token"] for r in posts.select("token").distinct().sort("token").collect()]
+    windows = [r["window"] for r in posts.select("window").distinct().sort("window").collect()]
     if posts.count() <= MAX_POSTINGS:
         posts = F.broadcast(posts)
-    prefix = F.array(*map(F.lit, rare))
-    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(prefix, w), F.struct(w.alias("token"), i.alias("at")))), lambda p: p.isNotNull())
-    hit = words.filter(F.arrays_overlap("words", prefix)).withColumn("hit", F.explode(places)).withColumn("token", F.col("hit.token"))
-    near = hit.join(posts, "token")
-    half = (F.col("window") / 2).cast("int")
-    block = F.floor(F.col("hit.at") / half).cast("int")
-    near = near.withColumn("block", F.explode(F.array_distinct(F.array(F.greatest(block - 1, F.lit(0)), block))))
-    near = near.withColumn("held", F.array_distinct(F.slice("words", F.col("block") * half + 1, F.col("window")))).filter(F.size("held") >= F.col("needed"))
+
+    def cut(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), i)), lambda p: p.isNotNull())
+
+        def blocks(at: Column, window: int) -> Column:
+            half = window // 2
+            numbers = F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(F.greatest(F.floor(p / half) - 1, F.lit(0)), F.floor(p / half)))))
+            one = lambda b: F.struct(F.lit(window).alias("window"), (b * half).cast("int").alias("first_word"), F.array_distinct(F.slice(words, (b * half).cast("int") + 1, F.lit(window))).alias("held"))
+            return F.transform(numbers, one)
+
+        return let(places, lambda at: F.flatten(F.array(*(blocks(at, w) for w in windows))))
+
+    if not windows:
+        windows, rare = [2], [""]  # no template: no block
+    near = docs.select(*others, F.inline(let(license_words(F.col(text_col)), cut)))
+    near = near.withColumn("token", F.explode(_tokens_held(F.col("held"), rare))).join(posts, ["token", "window"]).filter(F.size("held") >= F.col("needed"))
     rest = F.filter("ranks", lambda r: r["rank"] >= F.col("rank"))
     near = near.filter(F.size(F.array_intersect(F.col("held"), F.transform(rest, lambda r: r["token"]))) >= F.col("needed") - (F.size("ranks") - F.size(rest)))
-    both = F.size(F.array_intersect("held", "tokens"))
-    met = near.withColumn("both", both).filter(F.col("both") >= F.col("needed"))
-    return met.select(*others, "template", "label", (F.col("block") * half).alias("first_word"), (F.col("both") / F.size("tokens")).alias("containment")).distinct()
+    met = near.withColumn("both", F.size(F.array_intersect("held", "tokens"))).filter(F.col("both") >= F.col("needed"))
+    return met.select(*others, "template", "label", "first_word", (F.col("both") / F.size("tokens")).alias("containment")).distinct()
+
+
+def matching_blocks(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Every block that meets a template: the columns of ``docs`` but the text, and ``template, label, first_word, containment``."""
+    vocabulary = vocabulary_of(templates)
+    held = docs.select(_tokens_held(license_words(F.col(text_col)), vocabulary).alias("tokens"))
+    return blocks_met(docs, postings(templates, token_order(held, vocabulary), threshold), text_col)
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:
@@ -117,18 +141,26 @@ def _phrase_places(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row of ``docs``."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = matching_blocks(slim.select("row", "text"), template_table(docs.sparkSession, TEMPLATES if templates is None else templates), threshold)
-    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    templates = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
+    vocabulary = vocabulary_of(templates)
 
-    def base(w: Column) -> Column:
+    def described(w: Column) -> Column:
         places = F.array(*(F.struct(F.lit(label).alias("label"), _phrase_places(w, phrase).alias("at")) for label, phrase in BASE_PHRASES.items()))
         any_key = F.arrays_overlap(w, F.array(F.lit("license"), F.lit("cc")))
-        return F.struct(F.size(w).alias("n"), F.when(any_key, places).alias("places"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(any_key, places).alias("places"), _tokens_held(w, vocabulary).alias("tokens"))
+
+    # The one pass over all texts; only those with a prefix token are read once more.
+    rows = slim.select("doc_id", "row", F.inline(F.array(let(license_words(F.col("text")), described))))
+    rows = materialise(rows.select("doc_id", "row", "n_words", "places", "tokens"), "license-words")
+    posts = materialise(postings(templates, token_order(rows, vocabulary), threshold), "license-postings")
+    rare = [r["token"] for r in posts.select("token").distinct().collect()]  # tokens of the template table
+    near = materialise(rows.filter(F.size(_tokens_held(F.col("tokens"), rare)) > 0).select(F.col("row").alias("_row")).distinct(), "license-rows")
+    near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+    found = blocks_met(slim.join(near, F.col("row") == F.col("_row"), "left_semi").select("row", "text"), posts, "text")
+    found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
 
-    rows = slim.select("doc_id", "row", let(license_words(F.col("text")), base).alias("b"))
-    places = F.filter(F.coalesce(F.col("b.places"), F.array().cast("array<struct<label:string,at:array<int>>>")), lambda p: F.size(p["at"]) > 0)
-    rows = rows.select("doc_id", "row", F.col("b.n").cast("long").alias("n_words"), places.alias("places"))
-    rows = rows.join(found, "row", "left")
+    places = F.filter(F.coalesce(F.col("places"), F.array().cast("array<struct<label:string,at:array<int>>>")), lambda p: F.size(p["at"]) > 0)
+    rows = rows.select("doc_id", "row", "n_words", places.alias("places")).join(found, "row", "left")
     every = F.flatten(F.transform("places", lambda p: p["at"]))
     own = F.transform("places", lambda p: p["label"])
     return rows.select(
