@@ -5,8 +5,9 @@ bytes (chunks overlap by half and cover the whole document) keeps the maximum of
 combined by maximum, mean and minimum, and a hidden layer makes one probability of them. Repetition shows in these
 numbers, too: a chunk of a repeated phrase lights up few filters, and the chunks of a repeated page are all alike.
 
-The network is fitted on the driver with Adam on a bounded sample of labelled rows (``SAMPLE_DOCS`` of each class, whole
-texts of up to ``MAX_TRAIN_CHARS`` characters; longer ones are only scored). Scoring is map-only over Arrow batches.
+The network is fitted on the driver with Adam on a bounded sample of labelled rows (``SAMPLE_DOCS`` of each class). It
+learns from whole texts; of one of more than ``TRAIN_CHARS`` characters, which bounds the driver's memory, it learns from
+``TRAIN_PARTS`` passages that lie evenly over all of it. Scoring reads whole texts and is map-only over Arrow batches.
 
 Defined results: a null text counts as empty, and an empty text has a score like any other; if the labels have one
 class only, every score is that class; without any label every score is 1 (nothing speaks against a text); rows are
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.sampling import id_crc, sample_by_class
@@ -28,7 +29,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 4, 48, 32
 HALF = 256
 CHUNK = 2 * HALF
 SAMPLE_DOCS = 2000
-MAX_TRAIN_CHARS = 200_000
+TRAIN_CHARS = 200_000
+TRAIN_PARTS = 20
 EPOCHS, BATCH, RATE = 14, 48, 4e-3
 THRESHOLD = 0.7
 #: Texts are scored in pieces of so many bytes at most, so memory doesn't grow with a text.
@@ -183,6 +185,14 @@ class ByteNetwork:
         }
 
 
+def _learnable(text: Column) -> Column:
+    """A text of up to ``TRAIN_CHARS`` characters, or as many of a longer one in passages from its start to its end."""
+    part = TRAIN_CHARS // TRAIN_PARTS
+    gap = (F.char_length(text) - part) / (TRAIN_PARTS - 1)
+    parts = [F.substring(text, F.floor(gap * k).cast("int") + 1, F.lit(part)) for k in range(TRAIN_PARTS)]
+    return F.when(F.char_length(text) <= TRAIN_CHARS, text).otherwise(F.concat(*parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> ByteNetwork:
     """A network of ``docs (doc_id, text)`` and ``labels (doc_id, label)``; a document with several labels counts as 1 if any is.
 
@@ -193,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_d
     counts = {int(k): n for k, n in marked.groupBy("label").agg(F.count(F.lit(1))).collect()}
     model = ByteNetwork()
     chosen = sample_by_class(marked, "label", "doc_id", sample_docs).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.char_length("text") <= MAX_TRAIN_CHARS)
+    texts = docs.select("doc_id", _learnable(F.coalesce("text", F.lit(""))).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])  # bounded: two classes of sample_docs
     seen = set(rows["label"])
     if seen != {0, 1}:
