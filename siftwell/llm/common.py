@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,10 +18,12 @@ _own_folder: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; one of this process only where the session names none (tests)."""
+    """The folder all executors share; one of this machine only where the session names none and has no other machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="siftwell-"))
     return _own_folder[0]

@@ -46,11 +46,12 @@ RULES = [
     Rule("word_length_high", "mean_word_chars", high=12.0),
     Rule("upper_case", "upper_ratio", high=0.3),
     Rule("exclamation", "exclaim_ratio", high=0.3),
-    Rule("stop_words", "n_stop", low=2),
+    Rule("stop_words", "stop_ratio", low=0.02),
+    Rule("different_stop_words", "n_stop", low=2),
     Rule("duplicate_lines", "dup_line_ratio", high=0.5),
 ]
 
-METRICS = ["n_words", "word_chars", "n_stop", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim"]
+METRICS = ["n_words", "word_chars", "n_stop", "n_stop_words", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim"]
 
 #: Up to so many repeated windows, their places are found by membership; beyond, by sorting.
 FEW = 12
@@ -96,7 +97,8 @@ def repeated_words(words: Column) -> Column:
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the metric columns of :data:`METRICS` and the ratios the rules refer to. ``n_stop`` counts different ones."""
+    """Add the metric columns of :data:`METRICS` and the ratios the rules refer to. ``n_stop_words`` counts all stop words,
+    ``n_stop`` different ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_word = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     count_lines = lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
@@ -105,6 +107,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size(w).alias("n"),
         F.char_length(F.array_join(w, "")).alias("chars"),
         F.size(F.array_intersect(w, stop)).alias("stop"),
+        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).alias("stops"),
         repeated_words(w).alias("repeat"),
     )
     counted = docs.withColumns({"_w": let(words_of(text), count_words), "_l": let(with_word, count_lines)})
@@ -113,6 +116,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_words": F.col("_w")["n"].cast("long"),
             "word_chars": F.col("_w")["chars"].cast("long"),
             "n_stop": F.col("_w")["stop"].cast("long"),
+            "n_stop_words": F.col("_w")["stops"].cast("long"),
             "n_repeat_words": F.col("_w")["repeat"],
             "n_lines": F.col("_l")["n"].cast("long"),
             "n_dup_lines": F.col("_l")["dup"].cast("long"),
@@ -125,6 +129,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.withColumns(
         {
             "symbol_ratio": over("n_symbols", "n_words"),
+            "stop_ratio": over("n_stop_words", "n_words"),
             "mean_word_chars": over("word_chars", "n_words"),
             "upper_ratio": over("n_upper", "word_chars"),
             "exclaim_ratio": over("n_exclaim", "n_words"),

@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weight_col=mixing.length_odds())
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -98,10 +98,10 @@ covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM g JOIN again USING (rid,
 lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
 m AS (SELECT doc_id, len(w) AS n_words, length(list_aggregate(list_concat([''], w), 'string_agg', '')) AS word_chars, len(regexp_extract_all(text, '[{quality_rules.SYMBOLS}]')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_exclaim,
-  len(list_intersect(list_distinct(w), [{_STOP_LIST}])) AS n_stop FROM w JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+  len(list_intersect(list_distinct(w), [{_STOP_LIST}])) AS n_stop, len(list_filter(w, lambda x: x IN ({_STOP_LIST}))) AS n_stop_words FROM w JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_symbols <= 0.1 * n_words AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words
-  AND n_upper <= 0.3 * word_chars AND n_exclaim <= 0.3 * n_words AND n_stop >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM b""",
+  AND n_upper <= 0.3 * word_chars AND n_exclaim <= 0.3 * n_words AND n_stop_words >= 0.02 * n_words AND n_stop >= 2 AND n_dup_lines <= 0.5 * n_lines AS kept FROM b""",
 }
 
 
