@@ -31,11 +31,12 @@ def term_lane(terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def _shingles(text: Column, width: int) -> Column:
+    """Different runs of ``width`` words; of a shorter text, all its words."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
     def windows(w: Column) -> Column:
         whole = F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, width), " "))
-        return F.array_distinct(F.slice(whole, F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(0))))
+        return F.array_distinct(F.slice(whole, F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))))
 
     return F.get(F.transform(F.array(words), windows), F.lit(0))
 
@@ -130,12 +131,13 @@ def apply_rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
 
 def diversify(ranked: DataFrame, limit: int, threshold: float = 0.65) -> DataFrame:
     """Greedy: a row whose terms are like those of a row already chosen (Jaccard of ``threshold`` or more) is skipped;
-    ``must_keep`` rows enter in any case. Folds over a query's ordered candidates, of which there are a bounded number."""
+    ``must_keep`` rows enter in any case, and rows without terms are like no other. Folds over a query's ordered candidates, of which there are a bounded number."""
     item = F.struct("rank", "document_id", "must_keep", search_terms(F.col("text")).alias("terms"))
     lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def add(chosen: Column, x: Column) -> Column:
-        like = F.exists(chosen, lambda c: F.size(F.array_intersect(c["terms"], x["terms"])) >= threshold * F.size(F.array_union(c["terms"], x["terms"])))
+        both = lambda c: F.size(F.array_intersect(c["terms"], x["terms"]))
+        like = F.exists(chosen, lambda c: (both(c) > 0) & (both(c) >= threshold * F.size(F.array_union(c["terms"], x["terms"]))))
         return F.when(x["must_keep"] | ((F.size(chosen) < limit) & ~like), F.concat(chosen, F.array(x))).otherwise(chosen)
 
     kept = F.aggregate("items", F.slice("items", 1, 0), add)

@@ -12,13 +12,16 @@ def latest_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
 
 def stitch(chunks: DataFrame) -> DataFrame:
     """Join a part to the one before if that ends without terminal punctuation and this begins in lower case; a hyphen
-    at the seam goes."""
+    at the seam goes, and hyphens anywhere else stay."""
     order = Window.partitionBy("document_id").orderBy("chunk_index")
     before = F.lag("text").over(order)
     joins = before.isNotNull() & ~F.coalesce(before.rlike(r"[.!?:;]$"), F.lit(True)) & F.col("text").rlike("^[a-z]")
-    runs = chunks.withColumn("part", F.sum((~joins).cast("int")).over(order))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
-    return runs.groupBy("document_id", "part").agg(F.min("chunk_index").alias("chunk_index"), F.count(F.lit(1)).alias("parts"), F.regexp_replace(F.array_join(ordered, " "), "([a-z])- ([a-z])", "$1$2").alias("text")).drop("part")
+    runs = chunks.withColumns({"part": F.sum((~joins).cast("int")).over(order), "joins": joins, "broken": before.rlike("[a-z]-$")})
+    runs = runs.withColumn("ends", F.lead("joins").over(order) & F.col("text").rlike("[a-z]-$"))
+    own = F.when(F.coalesce("ends", F.lit(False)), F.regexp_replace("text", "-$", "")).otherwise(F.col("text"))
+    seam = F.when(~F.col("joins") | F.coalesce("broken", F.lit(False)), "").otherwise(" ")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", F.concat(seam, own).alias("text")))), lambda c: c["text"])
+    return runs.groupBy("document_id", "part").agg(F.min("chunk_index").alias("chunk_index"), F.count(F.lit(1)).alias("parts"), F.array_join(ordered, "").alias("text")).drop("part")
 
 
 def carry_forward(blocks: DataFrame, is_anchor: Column, most_gap: int, position: str = "page") -> DataFrame:

@@ -22,9 +22,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("a8_backfill_search_columns", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE lower(text) END) AS search_md5 FROM documents WHERE lang = 'en'")
+@query("a8_backfill_search_columns", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE lower(text) END) AS search_md5 FROM documents")
 def a8(spark, d):
-    rows = table(spark, d, "documents").filter("lang = 'en'").withColumn("search", F.when(F.col("doc_id") % 3 == 0, "kept").otherwise(""))
+    rows = table(spark, d, "documents").withColumn("search", F.when(F.col("doc_id") % 3 == 0, "kept").otherwise(""))
     return rows.select("doc_id", F.md5(E.backfilled(F.col("text"), F.col("search"))).alias("search_md5"))
 
 

@@ -43,7 +43,7 @@ term_lane AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY quer
 
 
 def _windows(t: str, key: str, name: str) -> str:
-    return f"""{name} AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t})))"""
+    return f"""{name} AS (SELECT DISTINCT k, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {t})))"""
 
 
 PASSAGE_LANE = f"""{_windows("benchmark", "item_id", "qw")}, {_windows("documents", "doc_id", "dw")},
@@ -92,9 +92,14 @@ def k2(spark, d):
     return R.coverage_density(_pairs(spark, d)).select("query_id", "document_id", "coverage", "density")
 
 
-@query("k3_phrase_score", f"WITH {PAIRS} SELECT query_id, document_id, CASE WHEN contains(lower(text), lower(query_text)) THEN 8 ELSE 0 END AS phrase FROM pairs")
+@query("k3_phrase_score", f"""WITH {PAIRS}, h AS (SELECT query_id, document_id, lower(text) AS t, CASE WHEN query_id % 2 = 0 THEN lower(query_text) ELSE 'find "' || array_to_string((string_split(lower(query_text), ' '))[1:5], ' ') || '" in "a b"' END AS asked FROM pairs),
+p AS (SELECT *, list_filter(regexp_extract_all(asked, '"([^"]+)"', 1), lambda x: len(string_split(x, ' ')) >= 4) AS phrases FROM h)
+SELECT query_id, document_id, CASE WHEN contains(t, asked) THEN 8 WHEN len(list_filter(phrases, lambda x: contains(t, x))) > 0 THEN 24 ELSE 0 END AS phrase FROM p""")
 def k3(spark, d):
-    return _pairs(spark, d).select("query_id", "document_id", R.phrase_score(F.col("query_text"), F.col("text")).alias("phrase"))
+    """Every other passage is asked for by its first five words, in quotes."""
+    words = F.array_join(F.slice(F.split(F.lower("query_text"), " "), 1, 5), " ")
+    asked = F.when(F.col("query_id") % 2 == 0, F.col("query_text")).otherwise(F.concat(F.lit('find "'), words, F.lit('" in "a b"')))
+    return _pairs(spark, d).select("query_id", "document_id", R.phrase_score(asked, F.col("text")).alias("phrase"))
 
 
 def _signals(spark, d):
@@ -167,7 +172,11 @@ def k14(spark, d):
     return R.apply_rerank(fused, fused.select("query_id", "document_id").join(scores, "document_id"))
 
 
-@query("k16_diversify")
+@query("k16_diversify", f"""WITH RECURSIVE {PAIRS}, o AS (SELECT query_id, document_id, rank, c, rank = 7 AS must_keep, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM pairs),
+fold(query_id, i, chosen, ranks, ids) AS (SELECT DISTINCT query_id, 0::BIGINT, []::VARCHAR[][], []::INTEGER[], []::BIGINT[] FROM o
+  UNION ALL SELECT f.query_id, f.i + 1, CASE WHEN takes THEN list_append(f.chosen, o.c) ELSE f.chosen END, CASE WHEN takes THEN list_append(f.ranks, o.rank) ELSE f.ranks END, CASE WHEN takes THEN list_append(f.ids, o.document_id) ELSE f.ids END
+  FROM fold f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1, LATERAL (SELECT o.must_keep OR (len(f.chosen) < 5 AND len(list_filter(f.chosen, lambda x: len(list_intersect(x, o.c)) > 0 AND len(list_intersect(x, o.c)) >= 0.65 * len(list_distinct(list_concat(x, o.c))))) = 0) AS takes))
+SELECT query_id, CAST(p - 1 AS INTEGER) AS place, ids[p] AS document_id, ranks[p] AS rank FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS p FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1))""")
 def k16(spark, d):
     rows = _pairs(spark, d).select("query_id", "document_id", "rank", "text", (F.col("rank") == 7).alias("must_keep"))
     return R.diversify(rows, 5)

@@ -24,9 +24,10 @@ def w1(spark, d):
     return W.latest_per_key(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id", "event_type", "value")
 
 
-@query("w2_stitch_pages", f"""WITH {CHUNKS}, j AS (SELECT *, CASE WHEN coalesce(NOT regexp_matches(lag(text) OVER w, '[.!?:;]$'), false) AND regexp_matches(text, '^[a-z]') THEN 0 ELSE 1 END AS starts FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
-p AS (SELECT *, sum(starts) OVER (PARTITION BY document_id ORDER BY chunk_index) AS part FROM j)
-SELECT document_id, min(chunk_index) AS chunk_index, count(*) AS parts, regexp_replace(string_agg(text, ' ' ORDER BY chunk_index), '([a-z])- ([a-z])', '\\1\\2', 'g') AS text FROM p GROUP BY document_id, part""")
+@query("w2_stitch_pages", f"""WITH {CHUNKS}, l AS (SELECT *, lag(text) OVER w AS before FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
+j AS (SELECT *, coalesce(NOT regexp_matches(before, '[.!?:;]$'), false) AND regexp_matches(text, '^[a-z]') AS joins, coalesce(regexp_matches(before, '[a-z]-$'), false) AS broken FROM l),
+p AS (SELECT *, sum((NOT joins)::INT) OVER w AS part, coalesce(lead(joins) OVER w, false) AND regexp_matches(text, '[a-z]-$') AS ends FROM j WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index))
+SELECT document_id, min(chunk_index) AS chunk_index, count(*) AS parts, string_agg(CASE WHEN joins AND NOT broken THEN ' ' ELSE '' END || CASE WHEN ends THEN left(text, length(text) - 1) ELSE text END, '' ORDER BY chunk_index) AS text FROM p GROUP BY document_id, part""")
 def w2(spark, d):
     return W.stitch(chunks(spark, d))
 

@@ -18,9 +18,24 @@ def test_arabic(spark):
 
 
 def test_stitch_joins_a_broken_paragraph(spark):
-    df = spark.createDataFrame([("d", 0, "The para-"), ("d", 1, "graph goes"), ("d", 2, "on."), ("d", 3, "Next one")], "document_id string, chunk_index int, text string")
+    df = spark.createDataFrame([("d", 0, "The para-"), ("d", 1, "graph goes pre- and post"), ("d", 2, "on."), ("d", 3, "Next one")], "document_id string, chunk_index int, text string")
     got = {(r["chunk_index"], r["parts"], r["text"]) for r in W.stitch(df).collect()}
-    assert got == {(0, 3, "The para- graph goes on."), (3, 1, "Next one")} or got == {(0, 3, "The paragraph goes on."), (3, 1, "Next one")}
+    assert got == {(0, 3, "The paragraph goes pre- and post on."), (3, 1, "Next one")}
+
+
+def test_rows_without_terms_are_like_no_other(spark):
+    ranked = spark.createDataFrame([(1, 1, 10, "..", False), (1, 2, 11, "!!", False), (1, 3, 12, "alpha beta", False), (1, 4, 13, "beta alpha", False)], "query_id long, rank int, document_id long, text string, must_keep boolean")
+    assert [r["document_id"] for r in R.diversify(ranked, 5).orderBy("place").collect()] == [10, 11, 12]
+
+
+def test_phrases_in_quotes(spark):
+    rows = spark.createDataFrame([('say "one two three four"', "x one two three four y"), ('say "one two"', "one two"), ("one two", "a ONE two")], "q string, t string")
+    assert [r[0] for r in rows.select(R.phrase_score(F.col("q"), F.col("t"))).collect()] == [24, 0, 8]
+
+
+def test_short_texts_have_one_window(spark):
+    df = spark.createDataFrame([("one two",), ("a b c d e",), ("",)], "t string")
+    assert [r[0] for r in df.select(R._shingles(F.col("t"), 4)).collect()] == [["one two"], ["a b c d", "b c d e"], []]
 
 
 def test_reading_order_columns(spark):
