@@ -68,8 +68,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def with_hubs(rows: DataFrame) -> DataFrame:
-    """``rows (key, id, ...)`` of the keys of two ids or more, with ``n``, how many ids the key has, and ``hub``, the least."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
+    """``rows (key, id, ...)`` of the keys of two ids or more, with ``n``, how many ids the key has, ``hub``, the least, and ``top``, the greatest."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("top")).filter("n > 1")
     return join_sums(rows, sizes, "key")
 
 
@@ -83,14 +83,17 @@ def link_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], r
     """Confirmed links ``(a, b)`` between members of the same groups: two members that share a key and are like each
     other are linked or in one component.
 
-    ``members (key, id, n, hub)`` are rows of :func:`with_hubs`, written. ``confirm`` takes pairs ``(a, b)`` and keeps the true
-    ones. Round 0 pairs each member with its group's least id, so a group of n gives n - 1 pairs. A hub need not be
-    like all members, so further rounds look at the groups that still span several components: small groups pair all
-    members of different components; in larger ones another member, drawn by a hash of the key, becomes the hub. Large
-    groups that still span several components after the rounds go to ``rest (key, id, component)``, which must return
-    every pair of a key and different components that ``confirm`` could keep.
+    ``members (key, id, n, hub, top)`` are rows of :func:`with_hubs`, written. ``confirm`` takes pairs ``(a, b)`` and keeps the true
+    ones. Round 0 pairs each member with its group's least id, and in large groups with the greatest as well, so a group
+    of n gives 2 n pairs at most. A hub need not be like all members, so further ``rounds`` look at the groups that still
+    span several components: small groups pair all members of different components; in larger ones another member, drawn
+    by a hash of the key, becomes the hub. Large groups (without rounds, all) that still span several components then go
+    to ``rest (key, id, component)``, which must return every pair of a key and different components that ``confirm``
+    could keep.
     """
-    pairs = materialise(members.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    hubs = F.when(F.col("n") > SMALL_GROUP, F.array("hub", "top")).otherwise(F.array("hub"))
+    pairs = members.select("id", F.explode(hubs).alias("to")).filter(F.col("id") != F.col("to"))
+    pairs = materialise(pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct(), "pairs")
     links = materialise(confirm(pairs), "links")
     tried = pairs
 

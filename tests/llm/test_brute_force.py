@@ -163,7 +163,7 @@ def test_similar_lines_of_all_lengths(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(alike) > 50
     count = lambda texts: sum(t.count("\n") + 1 for t in texts.values())
-    assert sum(got[i] != expected[i] for i in got) <= 0.05 * len(alike) and abs(count(got) - count(expected)) <= 0.05 * len(alike)
+    assert sum(got[i] != expected[i] for i in got) <= 0.1 * len(alike) and abs(count(got) - count(expected)) <= 0.1 * len(alike)
 
 
 def test_mixing_targets(spark, data, docs):
