@@ -191,9 +191,41 @@ def stage_rollup(events: DataFrame) -> DataFrame:
     return sums.withColumn("current", latest)
 
 
+#: Of the ranks by which approximate percentiles bound a percentile; their own error is half of it.
+RANK_SLACK = 2e-4
+#: So many values of a group are put in order as they are; the slack wouldn't be a whole rank.
+FEW_VALUES = 100_000
+
+
+def exact_percentiles(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """``by, n`` and an array ``p`` of interpolated percentiles of each group's values, nulls and NaN aside.
+
+    A group may hold any number of values. Approximate percentiles bound where each wanted rank lies; one more pass counts
+    what is below the bounds, and only values between them are put in order, folded to one row for each different value.
+    """
+    rows = rows.select(by, F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    asked = [min(1.0, max(0.0, s + d)) for s in shares for d in (-RANK_SLACK, RANK_SLACK)]
+    bounds = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.array(*map(F.lit, asked)), F.lit(round(2 / RANK_SLACK))).alias("q"))
+    held = rows.join(bounds, by)
+    end = lambda at, all_of: F.when(F.col("n") <= FEW_VALUES, F.lit(all_of)).otherwise(F.col("q")[at])
+    ends = [(end(2 * k, float("-inf")), end(2 * k + 1, float("inf"))) for k in range(len(shares))]
+    below = held.groupBy(by).agg(F.first("n").alias("n"), F.array(*(F.count_if(F.col("v") < low) for low, _ in ends)).alias("below"))
+    between = F.array_compact(F.array(*(F.when(F.col("v").between(low, high), F.lit(k)) for k, (low, high) in enumerate(ends))))
+    values = held.select(by, "v", F.explode(between).alias("k")).groupBy(by, "k", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by, "k").orderBy("v"))
+    placed = values.join(below, by).withColumn("last", F.element_at("below", F.col("k") + 1) + upto - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    at = F.element_at(F.array(*map(F.lit, shares)), F.col("k") + 1) * (F.col("n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    pick = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
+    found = placed.withColumns({"at": at, "low": low, "high": high}).groupBy(by, "k", "n", "at", "low").agg(pick(F.col("low")).alias("x"), pick(F.col("high")).alias("y"))
+    each = found.withColumn("p", F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.col("low")))
+    return each.groupBy(by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias("p"))
+
+
 def latency_percentiles(runs: DataFrame, budget: float) -> DataFrame:
     """P50, P95 and P99 of each lane, and how its P95 stands to the budget."""
-    sums = runs.groupBy("lane").agg(*(F.round(F.percentile("value", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)), F.count(F.lit(1)).alias("runs"))
+    sums = exact_percentiles(runs, "lane", "value", [0.5, 0.95, 0.99])
+    sums = sums.select("lane", *(F.round(F.col("p")[k], 6).alias(name) for k, name in enumerate(("p50", "p95", "p99"))), F.col("n").alias("runs"))
     return sums.withColumn("budget", F.when(F.col("p95") >= budget, "over").when(F.col("p95") >= 0.8 * budget, "near").otherwise("healthy"))
 
 

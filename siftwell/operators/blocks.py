@@ -103,3 +103,13 @@ def contract_status() -> Column:
 def merged_parameters(preset: Column, own: Column) -> Column:
     """Two maps in one; where both have a key, ``own`` wins."""
     return F.map_zip_with(preset, own, lambda k, a, b: F.coalesce(b, a))
+
+
+#: What a content list says of a block; fields that are missing are null.
+CONTENT_LIST = "array<struct<type: string, text: string, page_idx: int, text_level: int>>"
+
+
+def read_blocks(lists: DataFrame) -> DataFrame:
+    """Ordered blocks of JSON content lists ``(document_id, content)``; what is no such list is skipped."""
+    items = lists.select("document_id", F.from_json("content", CONTENT_LIST, {"mode": "PERMISSIVE"}).alias("items"))
+    return items.select("document_id", F.posexplode("items").alias("block_index", "b")).filter("b is not null").select("document_id", "block_index", "b.*")

@@ -43,23 +43,24 @@ def sections(chunks: DataFrame, starts: Column) -> DataFrame:
     return grouped.agg(F.array_join(F.transform(ordered, lambda c: c["text"]), "\n").alias("text"))
 
 
-def _packed(sizes: Column, target: int, most: int) -> Column:
-    """Bin numbers of items in order: a bin closes once it has ``target``, or before it would pass ``most``."""
-    start = F.struct(F.array().cast("array<int>").alias("bins"), F.lit(0).alias("bin"), F.lit(0).alias("fill"))
+def _first_items(sizes: Column, target: int, most: int) -> Column:
+    """Where bins of items in order begin: a bin closes once it has ``target``, or before it would pass ``most``."""
+    start = F.struct(F.array().cast("array<int>").alias("first"), F.lit(0).alias("at"), F.lit(0).alias("fill"))
 
     def put(a: Column, size: Column) -> Column:
-        fresh = (a["fill"] > 0) & ((a["fill"] >= target) | (a["fill"] + size > most))
-        number = a["bin"] + fresh.cast("int")
-        return F.struct(F.concat(a["bins"], F.array(number)).alias("bins"), number.alias("bin"), F.when(fresh, size).otherwise(a["fill"] + size).alias("fill"))
+        fresh = (a["at"] == 0) | ((a["fill"] > 0) & ((a["fill"] >= target) | (a["fill"] + size > most)))
+        first = F.when(fresh, F.concat(a["first"], F.array(a["at"]))).otherwise(a["first"])
+        return F.struct(first.alias("first"), (a["at"] + 1).alias("at"), F.when(fresh, size).otherwise(a["fill"] + size).alias("fill"))
 
-    return F.aggregate(sizes, start, put, lambda a: a["bins"])
+    return F.aggregate(sizes, start, put, lambda a: a["first"])
 
 
 def _regrouped(docs: DataFrame, parts: Column, target: int, most: int) -> DataFrame:
-    with_parts = docs.select("document_id", parts.alias("p")).withColumn("bins", _packed(F.transform("p", lambda t: word_count(t)), target, most))
-    zipped = with_parts.select("document_id", "p", "bins", F.explode(F.array_distinct("bins")).alias("piece_index"))
-    own = F.filter(F.zip_with("p", "bins", lambda t, b: F.struct(t.alias("t"), b.alias("b"))), lambda x: x["b"] == F.col("piece_index"))
-    return zipped.select("document_id", "piece_index", F.array_join(F.transform(own, lambda x: x["t"]), "\n").alias("text")).withColumn("n_words", word_count(F.col("text")).cast("long"))
+    """Pieces of consecutive parts. Each is cut out of its document's parts once, so rows never carry a whole text each."""
+    with_parts = docs.select("document_id", parts.alias("p")).withColumn("first", _first_items(F.transform("p", lambda t: word_count(t)), target, most))
+    piece = lambda at, i: F.array_join(F.slice("p", at + 1, F.coalesce(F.get("first", i + 1), F.size("p")) - at), "\n")
+    pieces = with_parts.select("document_id", F.posexplode(F.transform("first", piece)).alias("piece_index", "text"))
+    return pieces.withColumn("n_words", word_count(F.col("text")).cast("long"))
 
 
 def pack_sections(chunks: DataFrame, target_words: int, most_words: int) -> DataFrame:

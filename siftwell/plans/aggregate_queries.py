@@ -261,3 +261,8 @@ def x5(spark, d):
 SELECT job_id, min(ts) AS start, count(*) AS events FROM s GROUP BY job_id, k""")
 def x5b(spark, d):
     return X.bursts(_stages(spark, d), "2 hours", late=None)
+
+
+@query("x1_stream_ingest", f"""WITH {CHUNKS}, c AS (SELECT text, min(doc_id) AS document_id FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT document_id, chunk_index, line, k.text, sha256(c.text) AS sha256 FROM c JOIN chunks k USING (document_id)""")
+def x1(spark, d):
+    return X.ingest(table(spark, d, "documents"))

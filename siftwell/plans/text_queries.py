@@ -92,14 +92,19 @@ def b1(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.scripts_of(F.col("text")), ",").alias("scripts"))
 
 
-@query("b2_normalise_arabic")
+_ARABIC = "trim(regexp_replace(regexp_replace(translate(text, 'آأإٱى', 'ااااي'), '[\\x{0640}\\x{064B}-\\x{065F}\\x{0670}]', '', 'g'), '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g'))"
+
+
+@query("b2_normalise_arabic", f"WITH {CHUNKS} SELECT document_id, chunk_index, {_ARABIC} AS normalised FROM chunks")
 def b2(spark, d):
     return chunks(spark, d).select("document_id", "chunk_index", T.normalise_arabic(F.col("text")).alias("normalised"))
 
 
-@query("b3_arabic_tokens")
+@query("b3_arabic_tokens", f"""WITH {CHUNKS}, t AS (SELECT document_id, chunk_index, regexp_extract_all({_ARABIC}, '[\\x{{0621}}-\\x{{064A}}]+') AS t FROM chunks),
+f AS (SELECT document_id, chunk_index, flatten(list_transform(t, lambda x: CASE WHEN starts_with(x, 'و') AND length(x) > 3 THEN [x, substr(x, 2)] ELSE [x] END)) AS f FROM t)
+SELECT document_id, chunk_index, coalesce(array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ' '), '') AS tokens FROM f""")
 def b3(spark, d):
-    return chunks(spark, d).select("document_id", "chunk_index", T.arabic_tokens(F.col("text")).alias("tokens"))
+    return chunks(spark, d).select("document_id", "chunk_index", F.array_join(T.arabic_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("b4_sanitize", "SELECT event_id, replace(event_type, chr(0), '') AS event_type, CASE WHEN isfinite(value) THEN value END AS value FROM events")
@@ -287,6 +292,15 @@ def b28(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.explode(B.merged_parameters(preset, own)).alias("name", "value"))
 
 
+@query("a2_read_blocks", f"WITH {BLOCKS} SELECT document_id, block_index, tag AS type, text FROM blocks WHERE document_id % 11 <> 3")
+def a2(spark, d):
+    """Content lists made of the pages' blocks; those of every eleventh page are cut off, so that they are no JSON."""
+    ordered = blocks(spark, d).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("block_index", "tag", "text"))).alias("b"))
+    content = F.to_json(F.transform("b", lambda b: F.struct(b["tag"].alias("type"), b["text"].alias("text"))))
+    lists = ordered.select("document_id", F.when(F.col("document_id") % 11 == 3, F.substring(content, 1, 20)).otherwise(content).alias("content"))
+    return B.read_blocks(lists).select("document_id", "block_index", "type", "text")
+
+
 @query("c1_markdown_sections", f"""WITH {CHUNKS}, flagged AS (SELECT *, CASE WHEN chunk_index = 0 OR regexp_matches(text, '^(#{{1,4}} |[Pp]age [0-9]+|[0-9]+\\.)') OR length(text) < 25 THEN 1 ELSE 0 END AS starts FROM chunks),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS section FROM flagged)
 SELECT document_id, CAST(section AS INTEGER) AS section_index, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM s GROUP BY ALL""")
@@ -295,12 +309,27 @@ def c1(spark, d):
     return C.sections(chunks(spark, d), starts)
 
 
-@query("c3_pack_sections")
+_COUNT = "len(regexp_extract_all({}, '[^ \\t\\n\\r\\x0b\\x0c]+'))"
+
+
+def _folded(target: int, most: int) -> str:
+    """Pieces of ``parts (document_id, i, text, n)``, ``i`` from 0, by a recursive fold."""
+    fresh = f"f.fill > 0 AND (f.fill >= {target} OR f.fill + o.n > {most})"
+    return f"""fold(document_id, i, bin, fill) AS (SELECT document_id, i, 0, n FROM parts WHERE i = 0 UNION ALL
+  SELECT f.document_id, o.i, CASE WHEN {fresh} THEN f.bin + 1 ELSE f.bin END, CASE WHEN {fresh} THEN o.n ELSE f.fill + o.n END FROM fold f JOIN parts o ON o.document_id = f.document_id AND o.i = f.i + 1)
+SELECT document_id, bin AS piece_index, string_agg(text, chr(10) ORDER BY i) AS text, CAST(sum(n) AS BIGINT) AS n_words FROM fold JOIN parts USING (document_id, i) GROUP BY 1, 2"""
+
+
+@query("c3_pack_sections", f"WITH RECURSIVE {CHUNKS}, parts AS (SELECT document_id, chunk_index AS i, text, {_COUNT.format('text')} AS n FROM chunks), {_folded(120, 200)}")
 def c3(spark, d):
     return C.pack_sections(chunks(spark, d), target_words=120, most_words=200)
 
 
-@query("c2_hard_split")
+@query("c2_hard_split", f"""WITH RECURSIVE split AS (SELECT doc_id AS document_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+sentences AS (SELECT document_id, k, trim(s[k], ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS text FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS k FROM split)),
+cut AS (SELECT document_id, k, 0 AS j, text, {_COUNT.format('text')} AS n FROM sentences WHERE text <> '' AND {_COUNT.format('text')} <= 150
+  UNION ALL SELECT document_id, k, j, array_to_string(w[j * 150 + 1 : j * 150 + 150], ' '), least(150, len(w) - j * 150) FROM (SELECT document_id, k, w, unnest(range(0, (len(w) - 1) // 150 + 1)) AS j FROM (SELECT document_id, k, regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+') AS w FROM sentences WHERE {_COUNT.format('text')} > 150))),
+parts AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY k, j) - 1 AS INTEGER) AS i, text, n FROM cut), {_folded(150, 150)}""")
 def c2(spark, d):
     return C.hard_split(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), most_words=150)
 

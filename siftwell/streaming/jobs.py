@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,12 +15,35 @@ from siftwell.sources.tables import dedupe_uploads, line_chunks
 PROGRESS = {"view": 10, "click": 40, "search": 60, "error": 0, "purchase": 100}
 
 
-def stream_ingest(docs: DataFrame, write: Callable[[DataFrame, int], None]):
-    """A writer that deduplicates each batch by content, cuts it into chunks and hands it to ``write``."""
+def ingest(docs: DataFrame) -> DataFrame:
+    """Batch twin: chunks of the first document of each content, with the content's hash."""
+    one = dedupe_uploads(docs).filter("not is_duplicate").select("doc_id", "sha256")
+    fresh = docs.join(one.select("doc_id"), "doc_id", "left_semi")
+    return line_chunks(fresh).join(one.withColumnRenamed("doc_id", "document_id"), "document_id")
+
+
+def ingested(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The chunks that stand after the batches (below ``before``) at ``path``: each document's from its last batch."""
+    schema = "document_id long, chunk_index int, line int, text string, sha256 string, batch long"
+    rows = spark.read.schema(schema).parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    last = rows.groupBy("document_id").agg(F.max("batch").alias("_last")).withColumnRenamed("document_id", "_id")
+    return rows.join(last, (F.col("document_id") == F.col("_id")) & (F.col("batch") == F.col("_last"))).drop("_id", "_last")
+
+
+def stream_ingest(docs: DataFrame, path: str):
+    """A writer that cuts documents into chunks, one folder of ``path`` for each micro-batch.
+
+    Contents that already stand there are no longer written, in whatever batch they came; a document that comes again with
+    other content replaces its chunks. A batch that is run again overwrites its own folder, so each counts once.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        fresh = df.join(dedupe_uploads(df).filter("not is_duplicate").select("doc_id"), "doc_id", "left_semi")
-        write(line_chunks(fresh), number)
+        rows = ingest(df)
+        if number:
+            known = ingested(df.sparkSession, path, number).select("sha256").distinct()
+            rows = rows.join(known, "sha256", "left_anti").select(*rows.columns)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch)
 

@@ -1,5 +1,6 @@
 """Operators on small fixtures with known results."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -131,9 +132,29 @@ def test_stream_stalled_jobs(spark, tmp_path):
 
 
 def test_stream_ingest(spark, tmp_path):
-    spark.createDataFrame([(1, "a\nb"), (2, "a\nb"), (3, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
-    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs"))
-    q = X.stream_ingest(stream, lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["document_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, "a"), (1, "b"), (3, "c")}
+    """Two batches: a content that stands already is not written again, new content replaces a document, and one batch
+    gives what the batch twin gives."""
+    folder, out = str(tmp_path / "docs"), str(tmp_path / "out")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("doc_id long, text string").parquet(folder)
+        X.stream_ingest(stream, out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+        return {(r["document_id"], r["text"]) for r in X.ingested(spark, out).collect()}
+
+    first = [(1, "a\nb"), (2, "a\nb"), (3, "c")]
+    assert arrive(first) == {(1, "a"), (1, "b"), (3, "c")} == {(r["document_id"], r["text"]) for r in X.ingest(spark.createDataFrame(first, "doc_id long, text string")).collect()}
+    assert arrive([(4, "a\nb"), (3, "d\ne"), (5, "f")]) == {(1, "a"), (1, "b"), (3, "d"), (3, "e"), (5, "f")}
+
+
+@pytest.mark.parametrize("few", [100, 100_000])
+def test_percentiles_of_many_equal_values(spark, monkeypatch, few):
+    monkeypatch.setattr(A, "FEW_VALUES", few)
+    monkeypatch.setattr(A, "RANK_SLACK", 2e-3)
+    values = [1.0] * 5000 + [float(i) for i in range(3000)] + [1e9] * 10
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0), ("c", None)], "lane string, value double")
+    got = {r["lane"]: r["p"] for r in A.exact_percentiles(df, "lane", "value", [0.0, 0.5, 0.95, 0.99, 1.0]).collect()}
+    values.sort()
+    at = lambda s: values[int(s * (len(values) - 1))] + (values[min(len(values) - 1, int(s * (len(values) - 1)) + 1)] - values[int(s * (len(values) - 1))]) * (s * (len(values) - 1) % 1)
+    assert got["b"] == [7.0] * 5 and set(got) == {"a", "b"}
+    assert all(abs(x - at(s)) < 1e-6 * max(1, at(s)) for x, s in zip(got["a"], [0.0, 0.5, 0.95, 0.99, 1.0], strict=True))
