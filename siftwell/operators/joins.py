@@ -111,14 +111,30 @@ def bbox_overlap(boxes: DataFrame, most_dy: int = 150, least_overlap: float = 0.
     return a.join(b, ["page_id", "band"]).filter(near).select("page_id", "a", "b")
 
 
-def graph_expand(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """Nodes one edge from a seed, then those one node further, undirected; nearest first, ``limit`` for each seed."""
+def graph_expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """Chunk nodes that a seed has an edge to, or reaches over a reference node, or over two that have an edge:
+    ``seed, node, path, place, score``; nearest path first, ``limit`` for each seed; the score follows the place.
+
+    ``nodes (node, kind)``, ``edges (source, target)`` in either direction. A node hands on only its first ``limit + 1``
+    chunks in the order of the result (one may be the seed), which is all that can be among a seed's first ``limit``, so
+    nodes with any number of neighbours never multiply each other.
+    """
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    one = seeds.join(both, F.col("seed") == F.col("source")).select("seed", F.col("target").alias("node"), F.lit(1).alias("hops"))
-    two = one.join(both, F.col("node") == F.col("source")).filter("target != seed").select("seed", F.col("target").alias("node"), F.lit(2).alias("hops"))
-    reached = one.unionByName(two).groupBy("seed", "node").agg(F.min("hops").alias("hops"))
-    order = Window.partitionBy("seed").orderBy("hops", "node")
-    return reached.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    kinds = both.join(nodes.select(F.col("node").alias("target"), "kind"), "target")
+    first = lambda rows, by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("node"))).filter(F.col("_r") <= limit + 1).drop("_r")
+    chunks = first(kinds.filter("kind = 'chunk'").select(F.col("source").alias("from"), F.col("target").alias("node")), "from")
+    references = kinds.filter("kind = 'reference'").select("source", F.col("target").alias("from"))
+    own = seeds.select("seed").distinct()
+    near = own.join(references, F.col("seed") == F.col("source")).select("seed", "from")
+    hops = near.select(F.col("from").alias("source")).distinct().join(references, "source").join(chunks, "from").select(F.col("source").alias("from"), "node").distinct()
+    paths = [
+        own.withColumn("from", F.col("seed")).join(chunks, "from").select("seed", "node", F.lit(0).alias("path")),
+        near.join(chunks, "from").select("seed", "node", F.lit(1).alias("path")),
+        near.join(first(hops, "from"), "from").select("seed", "node", F.lit(2).alias("path")),
+    ]
+    reached = paths[0].unionByName(paths[1]).unionByName(paths[2]).filter("node != seed").groupBy("seed", "node").agg(F.min("path").alias("path"))
+    placed = reached.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("path", "node"))).filter(F.col("place") <= limit)
+    return placed.withColumn("score", F.greatest(F.lit(1.0), F.lit(20.0) - F.col("place")))
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int, threshold: float, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:

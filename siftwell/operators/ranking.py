@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import search_terms
+from siftwell.functions.text import estimated_tokens, search_terms, stripped
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -144,19 +144,52 @@ def diversify(ranked: DataFrame, limit: int, threshold: float = 0.65) -> DataFra
     return lists.select("query_id", F.posexplode(kept).alias("place", "x")).select("query_id", "place", "x.document_id", "x.rank")
 
 
-def assemble_context(ranked: DataFrame, budget: int) -> DataFrame:
-    """Fill a token budget in order, skipping what doesn't fit; direct evidence enters in any case. ``reason`` tells why
-    a row was left out (or, for direct evidence, that it is over the budget)."""
-    lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "document_id", "tokens", "direct"))).alias("items"))
+def at_logical_boundary(text: Column, most: int) -> Column:
+    """The first paragraph, if it has ``most`` tokens or fewer; else the first ``most`` words."""
+    blank = "[ \\t\\n\\r\\x0b\\x0c]+"
+    paragraph = F.get(F.filter(F.transform(F.split(text, "\n\n", -1), stripped), lambda p: p != ""), F.lit(0))
+    words = F.array_join(F.slice(F.split(stripped(text), blank), 1, most), " ")
+    return F.when(paragraph.isNotNull() & (estimated_tokens(paragraph) <= most), paragraph).otherwise(words)
 
-    def add(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["tokens"] <= budget
-        entry = F.struct(x["rank"].alias("rank"), x["document_id"].alias("document_id"), (fits | x["direct"]).alias("kept"), F.when(~fits, "over_budget").alias("reason"))
-        return F.struct(F.concat(a["out"], F.array(entry)).alias("out"), F.when(fits | x["direct"], a["used"] + x["tokens"]).otherwise(a["used"]).alias("used"))
 
-    kind = "array<struct<rank:int,document_id:bigint,kept:boolean,reason:string>>"
-    filled = F.aggregate("items", F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("long").alias("used")), add, lambda a: a["out"])
-    return lists.select("query_id", F.explode(filled).alias("x")).select("query_id", "x.*")
+def assemble_context(ranked: DataFrame, budget: int, hard: int) -> DataFrame:
+    """What of a query's candidates goes into its context, each with ``kept``, ``reason``, ``text`` and ``tokens``.
+
+    ``ranked (query_id, rank, document_id, key, text, direct, policy)``: direct evidence comes first, else by rank. In
+    order: what has the ``key`` of a row that is in already is a ``duplicate``; a row with a ``policy`` reason is left out
+    for it; one that the token budget has no room for is left out (``token_budget``), but direct evidence stays
+    (``direct_over_budget``); texts of more than ``hard`` tokens are cut (``truncated``). The budget goes on after a row
+    that didn't fit, so this is a fold over a query's candidates, of which there are a bounded number; it carries no texts.
+    """
+    rows = ranked.withColumn("tokens", estimated_tokens(F.col("text")))
+    rows = rows.withColumns({"cut": F.col("tokens") > hard, "text": F.when(F.col("tokens") > hard, at_logical_boundary(F.col("text"), hard)).otherwise(F.col("text"))})
+    rows = rows.withColumn("own", F.when(F.col("cut"), estimated_tokens(F.col("text"))).otherwise(F.col("tokens")))
+    item = F.struct((~F.col("direct")).alias("later"), "rank", "key", "tokens", "own", "cut", "policy")
+    lists = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def add(a: Column, x: Column) -> Column:
+        over = a["used"] + x["tokens"] > budget
+        reason = F.when(F.array_contains(a["seen"], x["key"]), "duplicate").when(x["policy"].isNotNull(), x["policy"])
+        reason = reason.when(over & x["later"], "token_budget").when(over, "direct_over_budget").when(x["cut"], "truncated")
+        kept = ~F.array_contains(a["seen"], x["key"]) & x["policy"].isNull() & ~(over & x["later"])
+        entry = F.struct(x["rank"].alias("rank"), kept.alias("kept"), reason.alias("reason"))
+        seen = F.when(kept, F.concat(a["seen"], F.array(x["key"]))).otherwise(a["seen"])
+        return F.struct(F.concat(a["out"], F.array(entry)).alias("out"), seen.alias("seen"), F.when(kept, a["used"] + x["own"]).otherwise(a["used"]).alias("used"))
+
+    kind = "array<struct<rank:int,kept:boolean,reason:string>>"
+    empty = F.struct(F.array().cast(kind).alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).cast("long").alias("used"))
+    decided = lists.select("query_id", F.inline(F.aggregate("items", empty, add, lambda a: a["out"])))
+    own = rows.select("query_id", "rank", "document_id", "text", "direct", F.col("own").alias("tokens"))
+    return decided.join(own, ["query_id", "rank"])
+
+
+def context_status(assembled: DataFrame) -> DataFrame:
+    """Rows and tokens of each query's context; it is grounded if direct evidence is in it."""
+    kept = F.col("kept")
+    return assembled.groupBy("query_id").agg(
+        F.count_if(kept).alias("evidence"), F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).alias("tokens"), F.count_if(~kept).alias("dropped"),
+        F.when(F.bool_or(kept & F.col("direct")), "grounded").otherwise("insufficient_evidence").alias("status"),
+    )
 
 
 def verify_targets(targets: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -91,8 +92,6 @@ SECTIONED = CHUNKS + """, sectioned AS (SELECT document_id, chunk_index, text, s
 
 
 def sectioned(spark, d):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("document_id").orderBy("chunk_index")
     return chunks(spark, d).withColumn("section_index", F.sum(((F.col("chunk_index") == 0) | (F.char_length("text") < 25)).cast("int")).over(order))
 
@@ -137,12 +136,30 @@ def edges(spark, d):
     return o.unionByName(table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("source"), name("p", "l_partkey").alias("target")))
 
 
-@query("j12_graph_expand", f"""WITH {EDGES}, u AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), seeds AS (SELECT 'c' || c_custkey AS seed FROM customer WHERE c_mktsegment = 'BUILDING'),
-one AS (SELECT seed, target AS node FROM seeds JOIN u ON seed = source), reached AS (SELECT seed, node, min(hops) AS hops FROM (SELECT seed, node, 1 AS hops FROM one UNION ALL SELECT seed, target, 2 FROM one JOIN u ON node = source WHERE target <> seed) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, node) AS place FROM reached) SELECT seed, node, CAST(hops AS INTEGER) AS hops, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20""")
+GRAPH = f"""{EDGES}, graph AS (SELECT * FROM edges UNION ALL SELECT 'o' || o_orderkey, 'o' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders UNION ALL SELECT 'c' || o_custkey, 'p' || l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 48),
+nodes AS (SELECT 'c' || c_custkey AS node, 'document' AS kind FROM customer UNION ALL SELECT 'o' || o_orderkey, 'reference' FROM orders UNION ALL SELECT 'p' || p_partkey, 'chunk' FROM part)"""
+
+
+def graph(spark, d):
+    """Customers are documents, orders are references (linked with the customer's next one), parts are chunks."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    bridges = orders.withColumn("after", after).select(name("o", "o_orderkey").alias("source"), name("o", "after").alias("target")).filter("target is not null")
+    large = lines.filter("l_quantity >= 48").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(name("c", "o_custkey").alias("source"), name("p", "l_partkey").alias("target"))
+    kinds = {"customer": ("c", "c_custkey", "document"), "orders": ("o", "o_orderkey", "reference"), "part": ("p", "p_partkey", "chunk")}
+    nodes = [table(spark, d, t).select(name(p, c).alias("node"), F.lit(kind).alias("kind")) for t, (p, c, kind) in kinds.items()]
+    return nodes[0].unionByName(nodes[1]).unionByName(nodes[2]), edges(spark, d).unionByName(bridges).unionByName(large)
+
+
+@query("j12_graph_expand", f"""WITH {GRAPH}, u AS (SELECT source, target FROM graph WHERE target IS NOT NULL UNION SELECT target, source FROM graph WHERE target IS NOT NULL), t AS (SELECT source, target, kind FROM u JOIN nodes ON node = target),
+seeds AS (SELECT 'c' || c_custkey AS seed FROM customer WHERE c_mktsegment = 'BUILDING'), near AS (SELECT seed, target AS via FROM seeds JOIN t ON source = seed WHERE kind = 'reference'),
+far AS (SELECT seed, target AS via FROM near JOIN t ON source = via WHERE kind = 'reference'),
+reached AS (SELECT seed, node, min(path) AS path FROM (SELECT seed, seed AS via, 0 AS path FROM seeds UNION SELECT seed, via, 1 FROM near UNION SELECT seed, via, 2 FROM far) JOIN (SELECT source AS via, target AS node FROM t WHERE kind = 'chunk') USING (via) WHERE node <> seed GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY path, node) AS place FROM reached) SELECT seed, node, CAST(path AS INTEGER) AS path, CAST(place AS INTEGER) AS place, greatest(1.0, 20.0 - place)::DOUBLE AS score FROM r WHERE place <= 20""")
 def j12(spark, d):
     seeds = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
-    return J.graph_expand(seeds, edges(spark, d), 20)
+    return J.graph_expand(seeds, *graph(spark, d), 20)
 
 
 @query("j13_semantic_topk", """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
@@ -155,8 +172,6 @@ def j13(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id, chunk_index) AS rank FROM m)
 SELECT query_id, document_id, chunk_index, round(greatest(0.01, 1.0 / rank), 9)::DOUBLE AS score FROM r LEFT JOIN labels ON doc_id = document_id WHERE rank <= 100 AND coalesce(quality = 1, true)""")
 def j14(spark, d):
-    from pyspark.sql import Window
-
     terms = query_terms(spark, d)
     one_by_one = terms.withColumn("query_id", F.struct("query_id", "term"))
     hits = J.lexical_prefilter(one_by_one, chunks(spark, d), 1 << 30).select("query_id.query_id", "document_id", "chunk_index").distinct()

@@ -189,10 +189,38 @@ def k18(spark, d):
     return R.top_k(allowed, ["query_id"], ["rank"], 5, "place").select("query_id", "document_id", "place")
 
 
-@query("k20_assemble_context")
+def _tokens(t: str) -> str:
+    """Estimated tokens of a text in SQL."""
+    return f"""greatest(len(regexp_extract_all({t}, '[^ \\t\\n\\r\\x0b\\x0c]+')), length({t}) // 4, CAST(floor(len(regexp_extract_all({t}, '[\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{08A0}}-\\x{{08FF}}]')) * 0.75) AS BIGINT), len(regexp_extract_all({t}, '[{{}}()\\[\\];=<>/*+\\\\-]')) // 2, 1)"""
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+BUDGET, HARD = 1500, 400
+CONTEXT = f"""{PAIRS}, e AS (SELECT p.query_id, p.document_id, p.rank, md5(p.text) AS key, p.text, contains(p.text, query_text) AS direct, CASE WHEN toxic = 1 THEN 'quality_policy_block' END AS policy, {_tokens("p.text")} AS tokens FROM pairs p LEFT JOIN labels ON doc_id = p.document_id),
+g AS (SELECT *, tokens > {HARD} AS cut, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> '')[1] AS paragraph FROM e),
+h AS (SELECT *, CASE WHEN NOT cut THEN text WHEN paragraph IS NOT NULL AND {_tokens("paragraph")} <= {HARD} THEN paragraph ELSE array_to_string((regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\x0c]+'))[1:{HARD}], ' ') END AS shown FROM g),
+o AS (SELECT *, {_tokens("shown")} AS own, row_number() OVER (PARTITION BY query_id ORDER BY direct DESC, rank) AS i FROM h),
+fold(query_id, i, seen, used, document_id, rank, kept, reason, direct, tokens, shown) AS (SELECT DISTINCT query_id, 0::BIGINT, []::VARCHAR[], 0::BIGINT, NULL::BIGINT, NULL::INTEGER, false, NULL::VARCHAR, false, 0::BIGINT, NULL::VARCHAR FROM o
+  UNION ALL SELECT f.query_id, f.i + 1, CASE WHEN takes THEN list_append(f.seen, o.key) ELSE f.seen END, CASE WHEN takes THEN f.used + o.own ELSE f.used END, o.document_id, o.rank, takes,
+    CASE WHEN dup THEN 'duplicate' WHEN o.policy IS NOT NULL THEN o.policy WHEN over AND NOT o.direct THEN 'token_budget' WHEN over THEN 'direct_over_budget' WHEN o.cut THEN 'truncated' END, o.direct, o.own, o.shown
+  FROM fold f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1, LATERAL (SELECT list_contains(f.seen, o.key) AS dup, f.used + o.tokens > {BUDGET} AS over) x, LATERAL (SELECT NOT dup AND o.policy IS NULL AND (o.direct OR NOT over) AS takes) y)"""
+
+
+def _context(spark, d):
+    policy = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("toxic") == 1, "quality_policy_block").alias("policy"))
+    rows = _pairs(spark, d).join(policy, "document_id", "left")
+    return R.assemble_context(rows.select("query_id", "rank", "document_id", F.md5("text").alias("key"), "text", F.contains("text", F.col("query_text")).alias("direct"), "policy"), BUDGET, HARD)
+
+
+@query("k20_assemble_context", f"WITH RECURSIVE {CONTEXT} SELECT query_id, rank, document_id, kept, reason, tokens, md5(shown) AS text_md5 FROM fold WHERE i > 0")
 def k20(spark, d):
-    rows = _pairs(spark, d).select("query_id", "rank", "document_id", T.estimated_tokens(F.col("text")).alias("tokens"), F.contains("text", F.col("query_text")).alias("direct"))
-    return R.assemble_context(rows, 1500)
+    return _context(spark, d).select("query_id", "rank", "document_id", "kept", "reason", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query("k20_context_status", f"""WITH RECURSIVE {CONTEXT} SELECT query_id, count(*) FILTER (WHERE kept) AS evidence, coalesce(sum(tokens) FILTER (WHERE kept), 0)::BIGINT AS tokens, count(*) FILTER (WHERE NOT kept) AS dropped,
+CASE WHEN bool_or(kept AND direct) THEN 'grounded' ELSE 'insufficient_evidence' END AS status FROM fold WHERE i > 0 GROUP BY 1""")
+def k20_status(spark, d):
+    return R.context_status(_context(spark, d))
 
 
 @query("q1_parse_query_references", "SELECT conv_id, turn, '[' || r || ']' AS reference FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '[0-9]+:[0-9]+'))) AS r FROM conversations)")

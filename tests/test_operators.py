@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.operators import aggregates as A
 from siftwell.operators import chunking as C
+from siftwell.operators import joins as J
 from siftwell.operators import ranking as R
 from siftwell.operators import windows as W
 from siftwell.sources import tables as S
@@ -63,9 +64,32 @@ def test_greedy_packing_and_context(spark):
     docs = spark.createDataFrame([("d", "one two three. four five. " + "w " * 7)], "document_id string, text string")
     pieces = [r["n_words"] for r in C.hard_split(docs, 5).orderBy("piece_index").collect()]
     assert pieces == [5, 5, 2]
-    ranked = spark.createDataFrame([(1, 1, 10, 60, False), (1, 2, 11, 60, False), (1, 3, 12, 40, False), (1, 4, 13, 50, True)], "query_id long, rank int, document_id long, tokens long, direct boolean")
-    got = {r["rank"]: (r["kept"], r["reason"]) for r in R.assemble_context(ranked, 100).collect()}
-    assert got == {1: (True, None), 2: (False, "over_budget"), 3: (True, None), 4: (True, "over_budget")}
+
+
+def test_context_assembly(spark):
+    words = lambda n, w: " ".join([w] * n)
+    rows = [
+        (1, 1, 10, "a", words(60, "aa"), False, None), (1, 2, 11, "b", words(60, "bb"), False, None), (1, 3, 12, "c", words(35, "cc"), False, None), (1, 4, 13, "d", words(2, "dd") + "\n\n" + words(90, "x"), True, None),
+        (1, 5, 10, "a", words(60, "aa"), False, None), (1, 6, 14, "e", "e", False, "blocked"), (2, 1, 10, "a", words(300, "aa"), False, None), (2, 2, 15, "f", words(120, "f"), True, None),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, rank int, document_id long, key string, text string, direct boolean, policy string")
+    out = R.assemble_context(df, 100, 80).cache()
+    got = {(r["query_id"], r["rank"]): (r["kept"], r["reason"], r["tokens"]) for r in out.collect()}
+    # The direct row comes first and is cut to its first paragraph; 60 + 2 fit, the next 60 do not, the 35 after them do.
+    assert got[1, 4] == (True, "truncated", 2) and got[1, 1] == (True, None, 60) and got[1, 2] == (False, "token_budget", 60) and got[1, 3] == (True, None, 35)
+    assert got[1, 5][:2] == (False, "duplicate") and got[1, 6][:2] == (False, "blocked")
+    assert got[2, 2] == (True, "direct_over_budget", 80) and got[2, 1][:2] == (False, "token_budget")
+    assert {(r["query_id"], r["evidence"], r["tokens"], r["status"]) for r in R.context_status(out).collect()} == {(1, 3, 97, "grounded"), (2, 1, 80, "grounded")}
+
+
+def test_graph_expansion_paths(spark):
+    """Direct chunks, over one reference, over two; three are too far; a limit keeps the nearest."""
+    nodes = spark.createDataFrame([("s", "document"), ("r1", "reference"), ("r2", "reference"), ("r3", "reference"), *((f"k{i}", "chunk") for i in range(9))], "node string, kind string")
+    edges = spark.createDataFrame([("s", "k8"), ("r1", "s"), ("r1", "k3"), ("r1", "k8"), ("r2", "r1"), ("k1", "r2"), ("r3", "r2"), ("r3", "k0"), ("k3", "k4")], "source string, target string")
+    seeds = spark.createDataFrame([("s",)], "seed string")
+    got = [(r["node"], r["path"], r["place"], r["score"]) for r in J.graph_expand(seeds, nodes, edges, 5).orderBy("place").collect()]
+    assert got == [("k8", 0, 1, 19.0), ("k3", 1, 2, 18.0), ("k1", 2, 3, 17.0)]
+    assert [r["node"] for r in J.graph_expand(seeds, nodes, edges, 2).orderBy("place").collect()] == ["k8", "k3"]
 
 
 def test_diversify_skips_look_alikes(spark):
