@@ -94,8 +94,9 @@ class KneserNey:
         """``counts``: for each language, different n-grams of the highest order (rows of code points) and how often they occur."""
         self.languages = sorted(counts)
         letters = len(np.unique(np.concatenate([g.ravel() for g, _ in counts.values()]))) + 1
-        self.floor = np.float32(np.log(1.0 / letters))
         levels = {lang: self._levels(*counts[lang], letters) for lang in self.languages}
+        # A letter that no language has: what each model of single letters leaves to the uniform one.
+        self.floor = np.log([self._weight(levels[lang], 1, np.empty((1, 0), np.uint32))[0] / letters for lang in self.languages]).astype(np.float32)
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.contexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in range(1, ORDER + 1):

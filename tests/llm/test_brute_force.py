@@ -300,15 +300,76 @@ def test_kneser_ney_sums_to_one():
         grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(language_id.letters_of(t), 4) for t in own])
         counts[lang] = np.unique(grams, axis=0, return_counts=True)
     model = language_id.KneserNey(counts)
-    letters = sorted({c for t in texts.values() for x in t for c in x} | {" "})
+    letters = sorted({c for t in texts.values() for x in t for c in x} | {" ", "q"})  # q stands for all that no text has
     context = [ord(c) for c in " ab"]
     rows = np.array([[*context, ord(c)] for c in letters], np.uint32)
     p = np.exp(np.concatenate([model.log_chances(r) for r in rows]).astype(float))
-    assert ((p.sum(axis=0) > 0.9) & (p.sum(axis=0) <= 1.0001)).all()
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
     one = model.predict(["abc abd", "xyz", "12", None])
     assert list(one["lang_pred"]) == ["aa", "bb", "und", "und"]
 
 
+def test_kneser_ney_by_plain_counts():
+    """Probabilities of every letter of seen and unseen texts, from counts in dictionaries."""
+    rng = random.Random(8)
+    texts = {lang: ["".join(rng.choice(letters) for _ in range(80)) for _ in range(6)] for lang, letters in (("aa", "aab bcd"), ("bb", "bccd eef"))}
+    order, counts = language_id.ORDER, {}
+    plain = {lang: Counter() for lang in texts}
+    for lang, own in texts.items():
+        codes = [language_id.letters_of(t) for t in own]
+        grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, order) for c in codes])
+        counts[lang] = np.unique(grams, axis=0, return_counts=True)
+        for c in codes:
+            plain[lang].update(tuple(c[i : i + order]) for i in range(len(c) - order + 1))
+    letters = len({x for own in plain.values() for g in own for x in g}) + 1
+
+    def chance(grams, gram):
+        if not gram:
+            return 1 / letters
+        once, twice = (max(1, sum(n == k for n in grams.values())) for k in (1, 2))
+        discount, context = once / (once + 2 * twice), gram[:-1]
+        shorter = Counter(g[1:] for g in grams)  # how many different letters stand before
+        followers = [n for g, n in grams.items() if g[:-1] == context]
+        if not followers:
+            return chance(shorter, gram[1:])
+        return max(grams.get(gram, 0) - discount, 0) / sum(followers) + discount * len(followers) / sum(followers) * chance(shorter, gram[1:])
+
+    model = language_id.KneserNey(counts)
+    for text in (texts["aa"][0][:30], "bcd eef bad zzz a"):
+        codes = language_id.letters_of(text)
+        expected = [[math.log(chance(plain[lang], tuple(codes[i : i + order]))) for lang in model.languages] for i in range(len(codes) - order + 1)]
+        assert np.allclose(model.log_chances(codes), expected, atol=1e-4)
+
+
+def test_network_by_plain_loops():
+    """Features and scores of texts from the definition: filters, chunks that overlap by half, maximum, mean and minimum."""
+    net, half, stride = quality_cnn.ByteNetwork(), quality_cnn.HALF, quality_cnn.STRIDE
+    w = net.weights
+    for size in (0, 5, 300, 1500):
+        raw = bytes(random.Random(size).randrange(1, 256) for _ in range(size))
+        halves = max(2, -(-size // half))
+        padded = raw + bytes(halves * half - size + quality_cnn.WIDTH)
+        best = []
+        for h in range(halves):
+            places = range(h * half, (h + 1) * half, stride)
+            active = [np.concatenate([w["embed"][b] for b in padded[p : p + quality_cnn.WIDTH]]) @ w["conv"] + w["conv_bias"] for p in places]
+            best.append(np.maximum(np.max(active, axis=0), 0))
+        chunks = [np.maximum(a, b) for a, b in zip(best, best[1:], strict=False)]
+        features = np.concatenate((np.max(chunks, axis=0), np.mean(chunks, axis=0), np.min(chunks, axis=0)))
+        assert np.allclose(net.features(np.frombuffer(raw, np.uint8)), features, atol=1e-4)
+        hidden = np.maximum((features - net.shift) * net.scale @ w["hidden"] + w["hidden_bias"], 0)
+        score = 1 / (1 + math.exp(-(hidden @ w["out"] + w["out_bias"][0] + net.prior)))
+        assert abs(net.scores([raw.decode("latin-1")])[0] - score) < 1e-3 or max(raw, default=0) > 127
+
+
+def test_passages_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "TRAIN_CHARS", 40)
+    monkeypatch.setattr(quality_cnn, "TRAIN_PARTS", 4)
+    df = spark.createDataFrame([("x" * 40,), ("".join(chr(97 + i % 26) for i in range(200)),)], "text string")
+    short, long = (r[0] for r in df.select(quality_cnn._learnable(F.col("text"))).collect())
+    assert short == "x" * 40 and len(long) == 40 and long.startswith("abcdefghij") and long.endswith("ijklmnopqr")
+
+
 def test_quality_accuracy(spark):
     labels = spark.read.parquet(f"{WIDE}/labels.parquet")
     got = registry.op5_quality_cnn(spark, WIDE).join(labels, "doc_id").filter("held_out and quality is not null").toPandas()

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm.fixtures import documents, empty_documents
 from siftwell.llm import chat_format, language_id, licenses, line_dedup, minhash, mixing, packing, quality_cnn, quality_rules, vector_search
 
@@ -99,3 +100,24 @@ def test_vector_search(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in vector_search.nearest_neighbours(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
     assert vector_search.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns go through each stage; so does an empty table."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1), (2, 1), (6, 0), (7, 0), (8, 1), (None, 1)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    judged = stages["quality_classifier"](spark, docs, folder)
+    assert judged.columns == docs.columns and judged.count() <= 13
+    lines = stages["line_dedup"](spark, docs, folder).cache()
+    assert lines.columns == docs.columns and lines.count() == 13
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.collect()}[2] == ("", 0)
+    unique = stages["near_duplicates"](spark, docs, folder).cache()
+    ids = sorted((r["doc_id"] for r in unique.collect()), key=lambda i: (i is None, i))
+    assert unique.columns == docs.columns and ids == [1, 3, 4, 5, 6, 7, 8, 9, 11, None]
+    mixed = stages["source_mixing"](spark, unique, folder).cache()
+    assert mixed.columns == docs.columns and mixed.count() > 0 and mixed.filter("text is null or not text rlike '[^ \\\\n\\\\t]'").count() == 0
+    pieces = stages["best_fit_packing"](spark, mixed, folder)
+    assert pieces.filter("piece = 0").count() == mixed.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0, name
