@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     parts = classes.join(parts, "id", "left").filter("n > 1 or component is not null").select("digest", "least", "component")
     parts = materialise(parts, "parts")
     whole = parts.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = join_sums(parts, whole, "component", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    alone = parts.filter("component is null").select("digest", F.col("least").alias("component_id"))
+    labels = alone.unionByName(join_sums(parts.filter("component is not null"), whole, "component").select("digest", "component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(materialise(labels, "labels"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
