@@ -14,6 +14,7 @@ MODULES = [
     "siftwell.plans.aggregate_queries",
     "siftwell.plans.window_queries",
     "siftwell.plans.evidence_queries",
+    "siftwell.plans.reference_queries",
 ]
 
 
