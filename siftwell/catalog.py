@@ -15,6 +15,7 @@ MODULES = [
     "siftwell.plans.window_queries",
     "siftwell.plans.evidence_queries",
     "siftwell.plans.reference_queries",
+    "siftwell.plans.layout_queries",
 ]
 
 
