@@ -20,7 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +103,11 @@ def _sorted_turns(conversations: DataFrame) -> DataFrame:
     return slim.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
 
 
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """Rows as an Arrow batch: integers beside a null stay integers, which pandas would turn into doubles."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
 def format_turns(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """The rendered corpus, one row per turn in order: ``conv_id, segment, start, length, rendered, loss_start, loss_length``.
 
@@ -110,12 +115,13 @@ def format_turns(conversations: DataFrame, loss_role: str = "assistant") -> Data
     concatenation of ``rendered`` by ``segment``; the loss span (null for other roles) covers the content of a turn.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [("conv_id", pa.int64()), ("segment", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("rendered", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, segment, at = object(), 0, 0
         for batch in batches:
             rows = []
-            for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv != now:
                     now, segment, at = conv, 0, 0
                 rendered = render_turn(role, text)
@@ -123,11 +129,10 @@ def format_turns(conversations: DataFrame, loss_role: str = "assistant") -> Data
                 mine = role == loss_role
                 rows.append((conv, segment, at, len(rendered), rendered, at + first if mine else None, last - first if mine else None))
                 segment, at = segment + 1, at + len(rendered)
-            out = pd.DataFrame(rows, columns=["conv_id", "segment", "start", "length", "rendered", "loss_start", "loss_length"])
-            yield out.astype({"conv_id": "Int64", "loss_start": "Int64", "loss_length": "Int64"})
+            yield _batch(rows, fields)
 
     schema = "conv_id long, segment long, start long, length long, rendered string, loss_start long, loss_length long"
-    return _sorted_turns(conversations).mapInPandas(run, schema)
+    return _sorted_turns(conversations).mapInArrow(run, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -136,33 +141,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``formatted`` must come straight from that operator (same partitions and order), so nothing is shuffled again.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: object = None
+    fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
 
         def done() -> tuple:
             return (state["conv"], state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"])
 
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for batch in batches:
             rows = []
-            for conv, segment, start, rendered, loss_start, loss_length in batch[["conv_id", "segment", "start", "rendered", "loss_start", "loss_length"]].itertuples(index=False):
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "start", "rendered", "loss_start", "loss_length"))
+            for conv, segment, start, rendered, loss_start, loss_length in zip(*columns, strict=True):
                 if segment == 0:
                     if state:
                         rows.append(done())
-                    now = None if pd.isna(conv) else int(conv)
-                    state = {"conv": now, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+                    state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
                 for role, text, _, _ in parse_turns(rendered):
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(loss_start):
-                    first = int(loss_start) - int(start)
-                    text = _decode(rendered[first : first + int(loss_length)])
+                if loss_start is not None:
+                    first = loss_start - start
+                    text = _decode(rendered[first : first + loss_length])
                     state["loss_chars"] += len(text)
                     state["loss"].update(text.encode())
                 state["chars"] += len(rendered)
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+            yield _batch(rows, fields)
         if state:
-            yield pd.DataFrame([done()], columns=columns).astype({"conv_id": "Int64"})
+            yield _batch([done()], fields)
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,22 +111,28 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _round(rows: DataFrame, turn: int, groups: int, last: bool, length: int, sort_by: list[str]) -> DataFrame:
-    """Pack what ``rows`` has in each group. ``bin`` and ``at`` are the bin of the round before and the place in it;
-    pieces of one bin are in one group."""
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(sort_by, kind="stable", ignore_index=True)
-        codes, _ = pd.factorize(own["bin"])
-        sizes = np.bincount(codes, weights=own["length"]).astype(np.int64)
+    """Pack what ``rows`` has in each group. ``bin`` and ``at`` are the bin of the round before (a number of its own for
+    each piece at first) and the place in it; pieces of one bin are in one group, and equal rows are dealt out like others.
+
+    Groups are Arrow tables: ids beside a null stay integers."""
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        own = own.sort_by([(c, "ascending") for c in sort_by])
+        lengths, bin_before = own["length"].to_numpy(), own["bin"].to_numpy()
+        _, first, codes = np.unique(bin_before, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first, kind="stable")] = np.arange(len(first))
+        codes = rank[codes]  # bins in the order in which they come
+        sizes = np.bincount(codes, weights=lengths).astype(np.int64)
         bins, places, fills = best_fit(sizes, length)
         going = (fills < length - SLACK) & (not last)
-        own["at"] = own["at"].to_numpy() + places[codes]
-        own["bin"] = (turn << 56) + (int(key[0]) << 32) + bins[codes]
-        own["going"] = going[bins[codes]]
+        new = {"at": own["at"].to_numpy() + places[codes], "bin": (turn << 56) + (key[0].as_py() << 32) + bins[codes], "going": going[bins[codes]]}
+        for name, values in new.items():
+            own = own.set_column(own.schema.get_field_index(name), own.schema.field(name), pa.array(values, own.schema.field(name).type))
         return own
 
-    by = F.pmod(F.xxhash64(*sort_by) if turn == 0 else F.xxhash64("bin", F.lit(turn)), F.lit(groups))
-    return rows.withColumn("group", by.cast("long")).groupBy("group").applyInPandas(run, rows.withColumn("group", F.lit(0).cast("long")).schema)
+    by = F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups))
+    return rows.withColumn("group", by.cast("long")).groupBy("group").applyInArrow(run, rows.withColumn("group", F.lit(0).cast("long")).schema)
 
 
 def pack(items: DataFrame, length: int = LENGTH, items_per_group: int = ITEMS_PER_GROUP) -> DataFrame:

@@ -121,3 +121,32 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     assert pieces.filter("piece = 0").count() == mixed.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+IDS = [2**60 + 1, 2**60 + 2, 2**60 + 3, None, 7]
+
+
+def test_large_ids_beside_a_null(spark):
+    """Ids above 2**53 in one batch with a null come back as they are, from every operator whose tasks see ids."""
+    docs = spark.createDataFrame([(i, f"text number {k} of a few words", "en", "s") for k, i in enumerate(IDS)], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(IDS)], "doc_id long, quality int").coalesce(1)
+    results = [
+        packing.pack_documents(docs), packing.pack_documents(docs, keep_ids=True), minhash.near_duplicates(docs), language_id.learn_and_identify(docs), licenses.scan_licenses(docs),
+        quality_cnn.score(docs, quality_cnn.fit(docs, labels)), line_dedup.dedup_lines(docs), mixing.mix_sources(docs), quality_rules.quality_rules(docs),
+    ]
+    for rows in results:
+        assert sorted((r["doc_id"] for r in rows.collect()), key=repr) == sorted(IDS, key=repr)
+    turns = spark.createDataFrame([(i, t, r, f"{i} {t}") for i in IDS for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: (2, len(f"{i} 1")) for i in IDS}
+
+
+def test_equal_rows_are_packed_apart(spark):
+    """Copies of one row don't meet in one group: each group has about its share."""
+    same = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(700).cast("long").alias("length"))
+    rows = packing.pack(same, items_per_group=300).collect()
+    assert len(rows) == 3000 and len({r["sequence_id"] for r in rows}) <= 1600
+    first = packing._round(same.withColumns({"bin": F.monotonically_increasing_id(), "at": F.lit(0).cast("long"), "going": F.lit(True)}), 0, 10, False, 2048, ["doc_id", "length"])
+    assert max(r["count"] for r in first.groupBy("group").count().collect()) < 500
