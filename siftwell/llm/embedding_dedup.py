@@ -38,7 +38,7 @@ from siftwell.llm.components import connected_components, join_sums
 SAMPLE_ROWS = 20_000
 MAX_PIVOTS = 2048
 #: Numbers of rows in a block, of rows compared at once, and of comparisons that cost as much as sending a class to a cell.
-BLOCK, STRIP, SENT = 2048, 256, 2000
+BLOCK, STRIP, SENT = 8192, 256, 2000
 #: Bounds of angles are widened by this (the angle of a cosine next to 1 is known to 1e-8), and cosines so near to the
 #: threshold are computed again by the plain formula.
 MARGIN, TIE = 1e-7, 1e-12
@@ -125,10 +125,10 @@ def linked(own: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
         cosines = left[first : first + STRIP] @ right
         out[first : first + STRIP] = cosines >= threshold
         i, j = np.nonzero(np.abs(cosines - threshold) < TIE)
-        for at in range(0, len(i), BLOCK):
-            a, b = own[first + i[at : at + BLOCK]], other[j[at : at + BLOCK]]
+        for at in range(0, len(i), STRIP):
+            a, b = own[first + i[at : at + STRIP]], other[j[at : at + STRIP]]
             plain = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            out[first + i[at : at + BLOCK], j[at : at + BLOCK]] = plain >= threshold
+            out[first + i[at : at + STRIP], j[at : at + STRIP]] = plain >= threshold
     return out
 
 
@@ -202,8 +202,8 @@ def linked_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, Dat
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_length(batches):
-            for first in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(first, BLOCK)
+            for first in range(0, batch.num_rows, STRIP):
+                part = batch.slice(first, STRIP)
                 vectors, home = _vectors(part.column("v")), part.column("home").to_numpy()
                 rows, to, angle = shared_rings.value[vectors.shape[1]].reached(unit_rows(vectors), home)
                 sent = part.take(pa.array(rows)).select(["id", "n", "v"])
@@ -240,7 +240,7 @@ def linked_classes(classes: DataFrame, threshold: float) -> tuple[DataFrame, Dat
         a, b, n = left["id"].to_numpy(), right["its_id"].to_numpy(), right["its_n"].to_numpy()
         mask = linked(np.stack(left["v"].to_list()), np.stack(right["its_v"].to_list()), threshold)
         mask &= a[:, None] != b
-        counts = mask @ n
+        counts = np.concatenate([mask[i : i + STRIP] @ n for i in range(0, len(a), STRIP)])
         chain = stars(mask, a, b)
         some = counts > 0
         return pd.concat([pd.DataFrame({"id": a[some], "linked": counts[some], "to": pd.array([None] * int(some.sum()), "Int64")}), pd.DataFrame({"id": chain[:, 0], "linked": 0, "to": pd.array(chain[:, 1], "Int64")})], ignore_index=True)
