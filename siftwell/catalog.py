@@ -16,6 +16,7 @@ MODULES = [
     "siftwell.plans.evidence_queries",
     "siftwell.plans.reference_queries",
     "siftwell.plans.layout_queries",
+    "siftwell.plans.policy_queries",
 ]
 
 
