@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.functions import arabic as A
 from siftwell.functions import matches as M
 from siftwell.operators import contracts as K
 from siftwell.operators import policies as P
-from siftwell.plans.inputs import table
+from siftwell.plans.inputs import CHUNKS, chunks, table
 from siftwell.plans.ranking_queries import PAIRS, _pairs
 
 QUERIES: dict = {}
@@ -117,3 +118,27 @@ b AS (SELECT p.query_id, p.document_id, boost FROM pairs p JOIN qx USING (query_
 SELECT query_id, document_id, coalesce(sum(boost), 0)::DOUBLE AS boost, count(boost) AS intents FROM pairs LEFT JOIN b USING (query_id, document_id) GROUP BY 1, 2""")
 def k5_policies(spark, d):
     return P.intent_boosts(_pairs(spark, d).select("query_id", "document_id", "query_text", "text"), *_policy(spark, d))
+
+
+#: The chunks in Arabic presentation forms: some letters as single forms, a few as a ligature, marked letters and wide ones.
+_LATIN, _FORMS, _BASES = "etaoinsrhldc", "ﺍﺎﻭﻮﻣﻤﺑﻛﺃﻯ\uff41\u2460", "ااوومم" + "بكايa1"
+_SHAPED = f"translate(replace(replace(lower(text), 'th', 'ﻻ'), 'u', 'كَـ'), '{_LATIN}', '{_FORMS}')"
+_UNSHAPED = f"translate(replace(replace(lower(text), 'th', 'لا'), 'u', 'ك'), '{_LATIN}', '{_BASES}')"
+_FOLDED = f"trim(regexp_replace({_UNSHAPED}, '[ \\t\\n\\r\\x0b\\x0c]+', ' ', 'g'))"
+
+
+def shaped_chunks(spark, d):
+    ligated = F.replace(F.replace(F.lower("text"), F.lit("th"), F.lit("ﻻ")), F.lit("u"), F.lit("كَـ"))
+    return chunks(spark, d).select("document_id", "chunk_index", F.translate(ligated, _LATIN, _FORMS).alias("text"))
+
+
+@query("b2_compatibility_folding", f"WITH {CHUNKS} SELECT document_id, chunk_index, md5({_FOLDED}) AS folded_md5 FROM chunks")
+def b2_folding(spark, d):
+    return shaped_chunks(spark, d).select("document_id", "chunk_index", F.md5(A.folded_arabic(F.col("text"))).alias("folded_md5"))
+
+
+@query("b3_arabic_tokens_of_forms", f"""WITH {CHUNKS}, t AS (SELECT document_id, chunk_index, regexp_extract_all({_FOLDED}, '[\\x{{0600}}-\\x{{06FF}}]+') AS t FROM chunks),
+f AS (SELECT document_id, chunk_index, flatten(list_transform(t, lambda x: CASE WHEN starts_with(x, 'و') AND length(x) > 2 THEN [x, substr(x, 2)] ELSE [x] END)) AS f FROM t)
+SELECT document_id, chunk_index, coalesce(array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ' '), '') AS tokens FROM f""")
+def b3_forms(spark, d):
+    return shaped_chunks(spark, d).select("document_id", "chunk_index", F.array_join(A.folded_tokens(F.col("text")), " ").alias("tokens"))
