@@ -202,3 +202,42 @@ def project_graph(rows: DataFrame, known_types: list[str]) -> tuple[DataFrame, D
     kept = rows.join(clear, "alias", "left_semi")
     edges = kept.select("source", "target", F.when(F.upper("type").isin(known_types), F.upper("type")).otherwise("RELATED").alias("type")).distinct()
     return edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct(), edges
+
+
+def near_range_pairs(seeds: DataFrame, rows: DataFrame, distance: int, key: list[str]) -> DataFrame:
+    """``seed, id, gap``: rows whose parent range overlaps that of a seed of the same key, and whose unit range is at most
+    ``distance`` from its own.
+
+    Both have ``(*key, id, parent_start, parent_end, unit_start, unit_end)`` with starts not after ends. On each axis a
+    range lies in at most two buckets of the first power of two that is not shorter than it. Two ranges meet at the level
+    of the longer, so each is placed on its own and all longer levels that occur, in four cells a pair of levels at most,
+    and the join is one of equality. A pair counts in the cell where its overlap begins, so none comes twice and no
+    ``distinct`` is needed. How many levels there are is read from the longest range of each axis.
+    """
+    axes = ("parent", "unit")
+    wide = seeds.withColumns({"unit_start": F.col("unit_start") - distance, "unit_end": F.col("unit_end") + distance})
+    longest = lambda df: df.agg(*(F.coalesce(F.max(F.col(f"{a}_end") - F.col(f"{a}_start")), F.lit(0)).cast("long").alias(a) for a in axes)).first()
+    most = [max(x[a] for x in (longest(wide), longest(rows))) for a in axes]
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        out = df.select(*key, F.col("id").alias(name), *(F.col(f"{a}_{e}").cast("long").alias(f"{name}_{a}_{e}") for a in axes for e in ("start", "end")))
+        for a, top in zip(axes, most, strict=True):
+            start, end = F.col(f"{name}_{a}_start"), F.col(f"{name}_{a}_end")
+            levels = [k for k in range(top.bit_length() + 1)]
+            own = F.lit(0)
+            for k in levels:
+                own = F.when(end - start > (1 << k) - 1, k + 1).otherwise(own)
+            level = F.explode(F.sequence(F.least(own, F.lit(levels[-1])), F.lit(levels[-1])))
+            out = out.withColumn(f"{name}_{a}_own", own).withColumn(f"{a}_level", level)
+            size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{a}_level"))
+            out = out.withColumn(f"{a}_bucket", F.explode(F.sequence(F.floor(start / size), F.floor(end / size))))
+        return out
+
+    cells = [*key, *(f"{a}_{c}" for a in axes for c in ("level", "bucket"))]
+    met = placed(wide, "seed").join(placed(rows, "id"), cells)
+    for a in axes:
+        first = F.greatest(F.col(f"seed_{a}_start"), F.col(f"id_{a}_start"))
+        met = met.filter((first <= F.least(F.col(f"seed_{a}_end"), F.col(f"id_{a}_end"))) & (F.floor(first / F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{a}_level"))) == F.col(f"{a}_bucket")))
+        met = met.filter(F.greatest(F.col(f"seed_{a}_own"), F.col(f"id_{a}_own")) == F.col(f"{a}_level"))
+    gap = F.greatest(F.lit(0), F.col("id_unit_start") - (F.col("seed_unit_end") - distance), F.col("seed_unit_start") + distance - F.col("id_unit_end"))
+    return met.filter("seed != id").select(*key, "seed", "id", gap.alias("gap"))

@@ -123,3 +123,55 @@ def layout_relations(seeds: DataFrame, chunks: DataFrame, limit: int) -> DataFra
     order = Window.partitionBy("query_id").orderBy("document_id", "chunk_index")
     placed = rows.select(*ids, *RELATIONS, reasons.alias("reasons"), (BASE_BOOST + boost).alias("boost_score"), (BASE + BASE_BOOST + boost).alias("final_score"), F.row_number().over(order).alias("place"))
     return placed.filter(F.col("place") <= max(limit, 1))
+
+# A block this wide cuts a page into bands; a gap this wide cuts a band into columns.
+FULL_WIDTH, COLUMN_GAP = 0.7, 0.05
+RIGHT_TO_LEFT = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]"
+
+
+def page_directions(blocks: DataFrame) -> DataFrame:
+    """``document_id, page, rtl``: a vote of the letters of each page's texts; a page without letters reads left to right."""
+    own, letters = F.regexp_count("text", F.lit(RIGHT_TO_LEFT)), F.regexp_count("text", F.lit(r"\p{L}"))
+    sums = blocks.groupBy("document_id", "page").agg(F.coalesce(F.sum(own), F.lit(0)).alias("a"), F.coalesce(F.sum(letters), F.lit(0)).alias("n"))
+    return sums.select("document_id", "page", (2 * F.col("a") > F.col("n")).alias("rtl"))
+
+
+def document_order(blocks: DataFrame) -> DataFrame:
+    """``document_id, block_index, place, rtl``: the order in which the blocks of a document are read, from 1.
+
+    ``blocks (document_id, page, block_index, x0, y0, x1, y1, text)``. Pages follow each other, blocks without a page last.
+    A page on which any block has no box keeps its input order. Else blocks of 70 % of the page's width or more cut it into
+    bands, a gap of more than 5 % of the width between the blocks of a band cuts it into columns, and columns are read from
+    the side where the page's script begins, each from top to bottom; with fewer than two narrow blocks all are read from
+    top to bottom. Four windows by page; what cuts is a running count, so a page is sorted in one task and never a document.
+    """
+    page = Window.partitionBy("document_id", "page")
+    boxed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    rows = blocks.join(page_directions(blocks).withColumnRenamed("page", "_page").withColumnRenamed("document_id", "_doc"), (F.col("document_id") == F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page"))).drop("_page", "_doc")
+    rows = rows.withColumns({"kept": ~F.min(boxed).over(page), "width": F.greatest(F.lit(1.0), F.max("x1").over(page), F.max(F.col("x1") - F.col("x0")).over(page))})
+    rows = rows.withColumn("wide", F.coalesce(F.col("x1") - F.col("x0") >= FULL_WIDTH * F.col("width"), F.lit(False)))
+    rows = rows.withColumn("plain", F.col("kept") | (F.count_if(~F.col("wide")).over(page) < 2))
+    # Blocks without a page are ordered by their index wherever a height would order them.
+    down = F.when(F.col("page").isNull(), F.col("block_index").cast("double")).otherwise(F.col("y0"))
+    rows = rows.withColumns({"down": down, "across": F.when(F.col("page").isNull(), 0.0).otherwise(F.col("x0"))})
+    # A separator opens a band below it; a block is in the band of the separators that begin above its middle.
+    at = F.when(F.col("wide"), F.col("y0")).otherwise((F.col("y0") + F.col("y1")) / 2)
+    above = F.sum(F.col("wide").cast("int")).over(page.orderBy(at, F.desc("wide")).rangeBetween(Window.unboundedPreceding, 0))
+    rank = F.row_number().over(page.orderBy(F.desc("wide"), "down", "across", "block_index"))
+    rows = rows.withColumns({"at": at, "band": F.when(F.col("wide"), rank).otherwise(above)})
+    column = Window.partitionBy("document_id", "page", "wide", "band").orderBy("x0", "block_index")
+    edge = F.max("x1").over(column.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("starts", F.coalesce((F.col("x0") - edge > COLUMN_GAP * F.col("width")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("column", F.sum("starts").over(column))
+    side = F.when(F.col("rtl"), -F.col("column")).otherwise(F.col("column"))
+    free = lambda c, other=None: F.when(F.col("plain"), other).otherwise(c)
+    keys = [
+        free(F.col("band")), free((~F.col("wide")).cast("int")), free(side), F.when(F.col("kept"), F.col("block_index").cast("double")).otherwise(F.col("down")), F.when(F.col("kept"), 0.0).otherwise(F.col("across")), F.col("block_index"),
+    ]
+    within = F.row_number().over(page.orderBy(*keys))
+    before = blocks.groupBy("document_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("page")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.withColumn("within", within).select("document_id", "page", "block_index", "within", "rtl")
+    starts = before.select(F.col("document_id").alias("_doc"), F.col("page").alias("_page"), "before")
+    out = placed.join(starts, (F.col("document_id") == F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")))
+    return out.select("document_id", "block_index", (F.col("before") + F.col("within")).cast("int").alias("place"), "rtl")

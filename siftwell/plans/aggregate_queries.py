@@ -10,6 +10,7 @@ from siftwell.plans.inputs import BLOCKS, CHUNKS, WARNINGS, blocks, chunks, tabl
 from siftwell.plans.ranking_queries import FUSION, retrieval
 from siftwell.plans.text_queries import _RANGES, _script_sql
 from siftwell.streaming import jobs as X
+from siftwell.streaming import keyed_ingest as KI
 
 QUERIES: dict = {}
 SUPPRESSED = "(block_type = 'table' AND code = 'short_chunk')"
@@ -266,3 +267,12 @@ def x5b(spark, d):
 @query("x1_stream_ingest", f"""WITH {CHUNKS}, c AS (SELECT text, min(doc_id) AS document_id FROM documents WHERE text IS NOT NULL GROUP BY text) SELECT document_id, chunk_index, line, k.text, sha256(c.text) AS sha256 FROM c JOIN chunks k USING (document_id)""")
 def x1(spark, d):
     return X.ingest(table(spark, d, "documents"))
+
+
+@query("x1_keyed_ingest", """WITH r AS (SELECT user_id AS doc, event_id AS seq, CASE WHEN event_type <> 'error' THEN event_type || chr(10) || (value::BIGINT % 40) END AS text FROM events),
+last AS (SELECT doc, arg_max(coalesce(text, ''), seq) AS text FROM r GROUP BY 1), held AS (SELECT l.doc, l.text, min(r.seq) AS seq FROM last l JOIN r ON r.doc = l.doc AND r.seq > coalesce((SELECT max(o.seq) FROM r o WHERE o.doc = l.doc AND coalesce(o.text, '') <> l.text), -1) WHERE l.text <> '' GROUP BY 1, 2),
+owners AS (SELECT text, arg_min(doc, (seq, doc)) AS document_id FROM held GROUP BY 1)
+SELECT document_id, sha256(text) AS sha256, (i - 1)::INT AS chunk_index, i::INT AS line, string_split(text, chr(10))[i] AS text FROM owners, (VALUES (1), (2)) t(i)""")
+def x1_keyed(spark, d):
+    text = F.when(F.col("event_type") != "error", F.concat("event_type", F.lit("\n"), (F.rint("value").cast("long") % 40).cast("string")))
+    return KI.batch_standing(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), text.alias("text"), F.col("event_id").alias("seq")))

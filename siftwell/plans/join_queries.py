@@ -113,6 +113,21 @@ def j9(spark, d):
     return J.near_ranges(rows, 3)
 
 
+_AXES = "l_orderkey * 10 + l_linenumber AS id, l_returnflag AS k, l_suppkey % 50 AS parent_start, l_suppkey % 50 + l_linenumber % 3 AS parent_end, l_partkey % 97 AS unit_start, l_partkey % 97 + l_quantity::BIGINT % 6 AS unit_end"
+
+
+@query("j9_range_pairs", f"""WITH r AS (SELECT {_AXES}, l_quantity FROM lineitem), s AS (SELECT * FROM r WHERE l_quantity >= 50)
+SELECT r.k, s.id AS seed, r.id, greatest(0, r.unit_start - s.unit_end, s.unit_start - r.unit_end) AS gap FROM s JOIN r ON r.k = s.k AND r.id <> s.id AND r.parent_start <= s.parent_end AND s.parent_start <= r.parent_end AND r.unit_start - s.unit_end <= 2 AND s.unit_start - r.unit_end <= 2""")
+def j9_pairs(spark, d):
+    li = table(spark, d, "lineitem")
+    parent, unit = F.col("l_suppkey") % 50, F.col("l_partkey") % 97
+    rows = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("k"), parent.alias("parent_start"), (parent + F.col("l_linenumber") % 3).alias("parent_end"),
+        unit.alias("unit_start"), (unit + F.col("l_quantity").cast("long") % 6).alias("unit_end"), "l_quantity",
+    )
+    return J.near_range_pairs(rows.filter("l_quantity >= 50"), rows, 2, ["k"])
+
+
 BOXES = BLOCKS + """, boxes AS (SELECT document_id AS page_id, block_index AS block, (block_index % 2) * 400 + block_index * 37 % 90 AS x0, (block_index % 2) * 400 + block_index * 37 % 90 + 200 AS x1, block_index * 60 AS y0, block_index * 60 + 40 AS y1 FROM blocks)"""
 
 

@@ -74,3 +74,30 @@ def j10_relations(spark, d):
         contract = F.when(F.contains("text", F.lit(word)), own).otherwise(contract)
     seeds = laid_out(spark, d).filter(F.contains("text", F.lit("tion")) & (F.col("chunk_index") % 3 < 2)).select(F.floor(F.col("document_id") / 2).alias("query_id"), "document_id", "chunk_index", contract.alias("contract"))
     return Y.layout_relations(seeds, chunks, 40).withColumn("reasons", F.array_join("reasons", ","))
+
+
+#: Boxes in up to three columns with separators; the words of every third page stand in right-to-left letters.
+_READ = BLOCKS + """, rb AS (SELECT document_id, (block_index // 12)::INT AS page, block_index, CASE WHEN block_index % 8 = 3 THEN 0.0 ELSE (block_index % 3 * 330)::DOUBLE END AS x0, (block_index % 12 // 3 * 60 + block_index * 7 % 11)::DOUBLE AS y0,
+  CASE WHEN block_index % 8 = 3 THEN 900.0 ELSE (block_index % 3 * 330 + 200 + block_index % 4 * 30)::DOUBLE END AS x1, CASE WHEN document_id % 17 = 16 AND block_index % 12 = 5 THEN NULL ELSE (block_index % 12 // 3 * 60 + block_index * 7 % 11 + 40)::DOUBLE END AS y1,
+  CASE WHEN (document_id + block_index // 12) % 3 = 0 THEN translate(lower(text), 'etaoinsrhl', 'ابتثجحخدذر') ELSE text END AS text FROM blocks)"""
+
+
+def _read(spark, d):
+    b, i = blocks(spark, d), F.col("block_index")
+    y = (F.floor(i % 12 / 3) * 60 + i * 7 % 11).cast("double")
+    text = F.when((F.col("document_id") + F.floor(i / 12)) % 3 == 0, F.translate(F.lower("text"), "etaoinsrhl", "ابتثجحخدذر")).otherwise(F.col("text"))
+    return b.select(
+        "document_id", F.floor(i / 12).cast("int").alias("page"), "block_index", F.when(i % 8 == 3, 0.0).otherwise((i % 3 * 330).cast("double")).alias("x0"), y.alias("y0"),
+        F.when(i % 8 == 3, 900.0).otherwise((i % 3 * 330 + 200 + i % 4 * 30).cast("double")).alias("x1"), F.when(~((F.col("document_id") % 17 == 16) & (i % 12 == 5)), y + 40).alias("y1"), text.alias("text"),
+    )
+
+
+@query("w5_document_order", f"""WITH {_READ}, votes AS (SELECT document_id, page, 2 * sum(len(regexp_extract_all(text, '[\\x{{0590}}-\\x{{08FF}}]'))) > sum(len(regexp_extract_all(text, '\\pL'))) AS rtl, bool_and(y1 IS NOT NULL) AS boxed, greatest(max(x1), 1.0) AS width FROM rb GROUP BY 1, 2),
+v AS (SELECT rb.*, rtl, boxed, width, x1 - x0 >= 0.7 * width AS wide FROM rb JOIN votes USING (document_id, page)),
+s AS (SELECT *, count(*) FILTER (WHERE NOT wide) OVER (PARTITION BY document_id, page) >= 2 AS banded FROM v),
+b AS (SELECT s.*, (SELECT count(*) FROM v w WHERE w.document_id = s.document_id AND w.page = s.page AND w.wide AND CASE WHEN s.wide THEN (w.y0, w.x0, w.block_index) < (s.y0, s.x0, s.block_index) ELSE (s.y0 + s.y1) / 2 >= w.y0 END) AS above FROM s),
+c AS (SELECT *, coalesce(x0 - max(x1) OVER (PARTITION BY document_id, page, wide, above ORDER BY x0, block_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.05 * width, false)::INT AS starts FROM b),
+k AS (SELECT *, sum(starts) OVER (PARTITION BY document_id, page, wide, above ORDER BY x0, block_index) AS col FROM c)
+SELECT document_id, block_index, (row_number() OVER (PARTITION BY document_id ORDER BY page, CASE WHEN boxed AND banded THEN above * 2 + wide::INT END, CASE WHEN boxed AND banded AND NOT wide THEN CASE WHEN rtl THEN -col ELSE col END END, CASE WHEN boxed THEN y0 ELSE block_index END, CASE WHEN boxed THEN x0 END, block_index))::INT AS place, rtl FROM k""")
+def w5_order(spark, d):
+    return Y.document_order(_read(spark, d))
