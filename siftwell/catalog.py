@@ -17,6 +17,7 @@ MODULES = [
     "siftwell.plans.reference_queries",
     "siftwell.plans.layout_queries",
     "siftwell.plans.policy_queries",
+    "siftwell.plans.contract_queries",
 ]
 
 

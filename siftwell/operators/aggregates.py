@@ -243,3 +243,41 @@ def lane_policy(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg(
         F.bool_and(F.coalesce("vector_ok", F.lit(True))).alias("vector_ok"), F.bool_or(F.coalesce("blocked", F.lit(False))).alias("blocked"), F.count_if(F.col("vector_ok").isNull()).alias("unknown_documents"),
     )
+
+
+# What each metric has to reach.
+GATES = {"exact_reference_hit_rate": 1.0, "source_accuracy": 1.0, "graph_expansion_precision": 0.8, "reranker_ndcg": 0.98, "context_grounding_rate": 1.0}
+
+
+def baseline_gates(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
+    """``metric, value, gate, passed`` of five metrics over all cases; a metric without anything to judge is 1.
+
+    ``cases (query_id, query_class, expected_references, expected_sources, relevant_graph, required, assembled)``,
+    ``results (query_id, rank, chunk_id, source_id, reference_id, lane, grade)``. The first result of a case decides its
+    hit and its source; all results of the graph lane of cases with relevant graph chunks count for precision; grades are
+    compared with their best order within the first ``k``; required chunks are counted over all cases. Cases and results
+    meet once; a row for each case, then one row of sums.
+    """
+    share = lambda n, of: F.coalesce(F.sum(n) / F.nullif(F.sum(of), F.lit(0)), F.lit(1.0))
+    gain = lambda grades: F.aggregate(F.transform(F.slice(grades, 1, k), lambda g, i: (F.pow(F.lit(2.0), g) - 1) / F.log2(i + 2)), F.lit(0.0), lambda a, x: a + x)
+    item = F.struct("rank", "chunk_id", "source_id", "reference_id", "lane", "grade")
+    joined = cases.join(results.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("r")), "query_id", "left")
+    top, graph = F.get("r", F.lit(0)), F.filter("r", lambda x: x["lane"] == "graph")
+    grades = F.transform("r", lambda x: x["grade"])
+    ideal = gain(F.sort_array(grades, asc=False))
+    exact = F.col("query_class") == "exact_reference"
+    judged = F.size("relevant_graph") > 0
+    needed = F.array_distinct("required")
+    rows = joined.select(
+        F.when(exact, F.coalesce(F.array_contains("expected_references", top["reference_id"]), F.lit(False)).cast("int")).alias("hit"), exact.cast("int").alias("asked"),
+        F.coalesce(F.array_contains("expected_sources", top["source_id"]), F.lit(False)).cast("int").alias("source"), F.lit(1).alias("one"),
+        F.when(judged, F.size(F.filter(graph, lambda x: F.array_contains("relevant_graph", x["chunk_id"])))).alias("relevant"), F.when(judged & F.col("r").isNotNull(), F.size(graph)).alias("expanded"),
+        F.when(F.col("r").isNotNull(), F.when(ideal > 0, gain(grades) / ideal).otherwise(1.0)).alias("ndcg"), F.col("r").isNotNull().cast("int").alias("graded"),
+        F.size(F.array_intersect(needed, "assembled")).alias("grounded"), F.size(needed).alias("needed"),
+    )
+    sums = rows.agg(
+        share("hit", "asked").alias("exact_reference_hit_rate"), share("source", "one").alias("source_accuracy"), share("relevant", "expanded").alias("graph_expansion_precision"), share("ndcg", "graded").alias("reranker_ndcg"),
+        share("grounded", "needed").alias("context_grounding_rate"),
+    )
+    metrics = F.array(*(F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"), F.lit(gate).alias("gate")) for name, gate in GATES.items()))
+    return sums.select(F.explode(metrics).alias("m")).select("m.metric", F.round("m.value", 9).alias("value"), "m.gate", (F.col("m.value") >= F.col("m.gate")).alias("passed"))

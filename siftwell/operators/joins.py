@@ -137,8 +137,8 @@ def graph_expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: in
     return placed.withColumn("score", F.greatest(F.lit(1.0), F.lit(20.0) - F.col("place")))
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int, threshold: float, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
-    """Cosine top-k of a stated query set against all rows, in blocks: ``query_id, rank, vec_id, score``.
+def exact_topk(vectors: DataFrame, is_query: Column, k: int, threshold: float, block_rows: int = 8192, block_queries: int = 1024, candidates: Column | None = None) -> DataFrame:
+    """Cosine top-k of a stated query set against all rows (or those that are ``candidates``), in blocks: ``query_id, rank, vec_id, score``.
 
     Rows and queries fall into blocks by hash; each pair of blocks is one small matrix product in a task, and only the
     block's best k for each query are shuffled on.
@@ -148,7 +148,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, threshold: float, b
     r, q = max(1, math.ceil(n / block_rows)), max(1, math.ceil(asked / block_queries))
     block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.select("vec_id", "embedding", block(r).alias("rb"), every(q).alias("qb"))
+    held = rows if candidates is None else rows.filter(candidates)
+    left = held.select("vec_id", "embedding", block(r).alias("rb"), every(q).alias("qb"))
     right = rows.filter("q").select("vec_id", "embedding", block(q).alias("qb"), every(r).alias("rb"))
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
