@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.operators import query_text as Q
 from siftwell.operators import ranking as R
+from siftwell.operators import signals as S
 from siftwell.plans.inputs import table
 from siftwell.plans.text_queries import _STOP
 
@@ -256,3 +257,42 @@ def q5(spark, d):
     c = table(spark, d, "conversations").filter("role = 'assistant'")
     mark = F.when(F.col("turn") % 3 == 0, " [S1] [S9]").when(F.col("turn") % 3 == 1, " [S2]").otherwise("")
     return R.ground_answers(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.col("text"), mark).alias("answer"), (F.col("turn") % 4).cast("int").alias("available")))
+
+
+#: Metadata of documents: the first line is the title, language and source are tag and field, the last line is the layout's
+#: text, and terms of the passage count (in alphabetical order); every passage asks "how many", and names a term of its own as reference.
+_META = """meta AS (SELECT doc_id AS document_id, string_split(text, chr(10))[1] AS title, lang, source, string_split(text, chr(10))[-1] AS layout FROM documents),
+sp AS (SELECT p.query_id, p.document_id, 'how many ' || CASE WHEN p.query_id % 2 = 0 THEN lang || ' ' ELSE '' END || p.query_text || CASE WHEN p.query_id % 3 = 0 THEN ' ' || coalesce(source, '') ELSE '' END AS query_text, p.text, title, lang, source, layout FROM pairs p JOIN meta USING (document_id))"""
+_SW = r"list_filter(list_sort(list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'))), lambda x: x NOT IN (" + _STOP + "))"
+_SIGNED = f"""{_META}, st AS (SELECT *, lower(trim(query_text)) AS q, lower(text) AS t, {_SW.format("query_text")} AS qt, {_SW.format("text")} AS ct, {_SW.format("title")} AS tt, {_SW.format("layout")} AS lt FROM sp),
+sg AS (SELECT query_id, document_id, CASE WHEN contains(t, q) THEN 8.0 ELSE 0.0 END AS exact_phrase, CASE WHEN len(qt) > 0 AND len(ct) > 0 THEN len(list_intersect(qt, ct)) / len(qt) * 10 ELSE 0 END AS term_coverage, CASE WHEN len(qt) > 0 AND len(ct) > 0 THEN len(list_intersect(qt, ct)) / len(ct) * 2 ELSE 0 END AS semantic_density,
+  least(12.0, contains(q, lower(coalesce(lang, chr(1))))::INT + contains(q, lower(coalesce(source, chr(1))))::INT + least(10.0, len(list_intersect(qt, tt)) * 2.0))::DOUBLE AS metadata_boost, least(16.0, len(list_intersect(qt, lt)) * 4.0)::DOUBLE AS layout_context,
+  CASE WHEN regexp_matches(t || ' ' || lower(coalesce(title, '')), '\\b[0-9]{{2,}}\\b') AND contains(t || ' ' || lower(coalesce(title, '')), lower(qt[3])) THEN 30.0 ELSE 0.0 END AS answer_bearing_count,
+  CASE WHEN list_contains(tt[1:3], qt[4]) THEN 100.0 ELSE 0.0 END AS reference_exact, CASE WHEN qt[4] = coalesce(tt[4], '') OR qt[4] = coalesce(tt[5], '') THEN 30.0 ELSE 0.0 END AS neighbor_match FROM st)"""
+
+
+def _signed(spark, d):
+    docs = table(spark, d, "documents")
+    lines = F.split("text", "\n", -1)
+    meta = docs.select(F.col("doc_id").alias("document_id"), F.get(lines, F.lit(0)).alias("title"), "lang", "source", F.element_at(lines, -1).alias("last"))
+    pairs = _pairs(spark, d).select("query_id", "document_id", "query_text", "text").join(meta, "document_id")
+    text = F.concat(F.lit("how many "), F.when(F.col("query_id") % 2 == 0, F.concat("lang", F.lit(" "))).otherwise(""), F.col("query_text"), F.when(F.col("query_id") % 3 == 0, F.concat(F.lit(" "), F.coalesce("source", F.lit("")))).otherwise(""))
+    pairs = pairs.withColumn("query_text", text)
+    own, title = F.array_sort(S.terms(F.col("query_text"))), F.array_sort(S.terms(F.col("title")))
+    at = lambda c, k: F.get(c, F.lit(k - 1))
+    return S.with_signals(pairs.select(
+        "query_id", "document_id", "query_text", "text", "title", F.array("lang").alias("tags"), F.array("source").alias("fields"), F.array("last").alias("layout"), F.array_compact(F.array(at(own, 3))).alias("count_terms"),
+        at(own, 4).alias("requested"), F.slice(title, 1, 3).alias("references"), at(title, 4).alias("previous_ref"), at(title, 5).alias("next_ref"),
+    ))
+
+
+@query("k4_boosts", f"WITH {PAIRS}, {_SIGNED} SELECT query_id, document_id, metadata_boost, layout_context, answer_bearing_count FROM sg")
+def k4_boosts(spark, d):
+    return _signed(spark, d).select("query_id", "document_id", "metadata_boost", "layout_context", "answer_bearing_count")
+
+
+@query("k1_signal_scores", f"""WITH {PAIRS}, {_SIGNED} SELECT query_id, document_id, reference_exact, neighbor_match, exact_phrase, round(term_coverage, 9) AS term_coverage, round(semantic_density, 9) AS semantic_density,
+round(reference_exact + neighbor_match + exact_phrase + term_coverage * 0.5 + semantic_density + metadata_boost * 2 + layout_context + answer_bearing_count, 6) AS score FROM sg""")
+def k1_scores(spark, d):
+    score = S.weighted_score({"term_coverage": 0.5, "metadata_boost": 2.0})
+    return _signed(spark, d).select("query_id", "document_id", "reference_exact", "neighbor_match", "exact_phrase", F.round("term_coverage", 9).alias("term_coverage"), F.round("semantic_density", 9).alias("semantic_density"), score.alias("score"))
