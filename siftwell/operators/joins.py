@@ -77,16 +77,82 @@ def order_neighbours(seeds: DataFrame, chunks: DataFrame, reach: int = 1) -> Dat
 
 
 def context_window(seeds: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Neighbours by reading order and by section, with reasons and a score, the best ``limit`` for each seed."""
+    """Neighbours by reading order and by section, with reasons and a score, the best ``limit`` for each seed.
+
+    A section's chunks are numbered in order, and a seed meets those up to ``limit`` places from its own on either side: farther
+    ones can't be among its best, so a section of any length costs each seed the same.
+    """
     near = order_neighbours(seeds, chunks).select("document_id", "seed_index", "chunk_index", F.lit("adjacent").alias("reason"), F.lit(8).alias("points"))
-    own = seeds.select("document_id", F.col("chunk_index").alias("seed_index"), "section_index")
-    same = own.join(chunks.select("document_id", "chunk_index", "section_index"), ["document_id", "section_index"]).filter("seed_index != chunk_index")
+    section = ["document_id", "section_index"]
+    numbered = chunks.select(*section, "chunk_index", F.row_number().over(Window.partitionBy(*section).orderBy("chunk_index")).alias("at"))
+    own = seeds.select(*section, F.col("chunk_index").alias("seed_index")).join(numbered.withColumnRenamed("chunk_index", "seed_index"), [*section, "seed_index"])
+    steps = F.array(*(F.lit(k) for k in range(-limit, limit + 1) if k))
+    same = own.select("document_id", "section_index", "seed_index", F.explode(F.transform(steps, lambda k: F.col("at") + k)).alias("at")).join(numbered, [*section, "at"])
     same = same.select("document_id", "seed_index", "chunk_index", F.lit("same_section").alias("reason"), F.lit(1).alias("points"))
     merged = near.unionByName(same).groupBy("document_id", "seed_index", "chunk_index").agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"), F.sum("points").alias("score"))
     order = Window.partitionBy("document_id", "seed_index").orderBy(F.desc("score"), F.abs(F.col("chunk_index") - F.col("seed_index")), "chunk_index")
     return merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
+# Why a chunk is in the context of a query's seeds, in this order.
+CONTEXT_REASONS = ["reading_order_adjacent", "parent_context", "linked_context", "sibling_context", "heading_path_context", "section_path_context", "reference_range_context"]
+
+
+def context_relations(seeds: DataFrame, chunks: DataFrame, limit: int, distance: int = 1) -> DataFrame:
+    """``query_id, document_id, chunk_id, reasons, place``: the first ``limit`` chunks, in reading order, that are related to
+    any seed of a query.
+
+    ``seeds (query_id, chunk_id, paths, ranges)``: ``paths`` and ``ranges`` say whether a seed's contract lets its heading and section
+    paths, and its reference range, relate. ``chunks (document_id, chunk_id, reading_order, parent_id, previous_id, next_id,
+    heading_path, section_path, parent_start, parent_end, unit_start, unit_end)``; paths are strings. Chunks are looked
+    for in the documents of the query's seeds.
+
+    Each relation is a join on its own key. A key that many chunks share (a path, a parent) hands on its first chunks of a
+    document only: ``limit`` and as many as a query has seeds, which is all that can be among a query's first ``limit``.
+    Which of the relations the chunks so found have is then looked up key by key, for those few rows.
+    """
+    own = seeds.join(chunks, "chunk_id")
+    scope = own.select("query_id", "document_id").distinct()
+    most = seeds.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    order = [F.asc_nulls_last("reading_order"), "chunk_id"]
+    ids = ["query_id", "document_id", "chunk_id"]
+    keys_of = lambda df, c: df.select("query_id", F.col(c).alias("key")).filter("key is not null").distinct()
+    seed_ids = keys_of(own, "chunk_id")
+    linked = keys_of(own, "previous_id").unionByName(keys_of(own, "next_id")).distinct()
+    parents = keys_of(own, "parent_id")
+    headings, sections = (keys_of(own.filter("paths"), c) for c in ("heading_path", "section_path"))
+    orders = own.select("query_id", "document_id", F.explode(F.array(F.col("reading_order") - 1, F.col("reading_order") + 1)).alias("reading_order")).distinct()
+    near = own.filter("ranges").select("query_id", F.col("chunk_id").alias("id"), "parent_start", "parent_end", "unit_start", "unit_end").join(scope, "query_id")
+    ranged = lambda df: df.filter("parent_start is not null and parent_end is not null and unit_start is not null and unit_end is not null")
+    pairs = near_range_pairs(
+        ranged(near).select("document_id", F.struct("query_id", "id").alias("id"), "parent_start", "parent_end", "unit_start", "unit_end"), ranged(chunks).select("document_id", F.struct(F.lit(None).cast("long").alias("query_id"), F.col("chunk_id").alias("id")).alias("id"), "parent_start", "parent_end", "unit_start", "unit_end"), distance, ["document_id"],
+    )
+    in_range = pairs.select(F.col("seed.query_id").alias("query_id"), "document_id", F.col("id.id").alias("chunk_id")).distinct()
+
+    def first_of(column: str, keys: DataFrame) -> DataFrame:
+        held = chunks.filter(F.col(column).isNotNull()).select("document_id", "chunk_id", "reading_order", F.col(column).alias("key"))
+        held = held.withColumn("_r", F.row_number().over(Window.partitionBy("document_id", "key").orderBy(*order))).filter(F.col("_r") <= limit + most)
+        return keys.join(scope, "query_id").join(held, ["document_id", "key"]).select(*ids)
+
+    found = orders.join(chunks.select("document_id", "chunk_id", "reading_order"), ["document_id", "reading_order"]).select(*ids).unionByName(in_range)
+    for column, keys in (("chunk_id", parents.unionByName(linked).distinct()), ("parent_id", parents), ("previous_id", seed_ids), ("next_id", seed_ids), ("heading_path", headings), ("section_path", sections)):
+        found = found.unionByName(first_of(column, keys))
+    found = found.distinct().join(seeds.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti").join(chunks, ["document_id", "chunk_id"])
+    first = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", *order))).filter(F.col("place") <= max(limit, 1))
+
+    def marked(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+        mine = keys.select(F.col("query_id").alias("_q"), F.col("key").alias("_k"), F.lit(True).alias(flag))
+        return rows.join(mine, (F.col("query_id") == F.col("_q")) & (F.col(column) == F.col("_k")), "left").drop("_q", "_k")
+
+    rows = first
+    for keys, column, flag in ((parents, "chunk_id", "is_parent"), (linked, "chunk_id", "is_linked"), (parents, "parent_id", "is_sibling"), (seed_ids, "previous_id", "after"), (seed_ids, "next_id", "ahead"), (headings, "heading_path", "heading"), (sections, "section_path", "section")):
+        rows = marked(rows, keys, column, flag)
+    rows = rows.join(orders.withColumn("adjacent", F.lit(True)), ["query_id", "document_id", "reading_order"], "left").join(in_range.withColumn("near", F.lit(True)), ids, "left")
+    flags = [F.col("adjacent"), F.col("is_parent"), F.coalesce("is_linked", "after", "ahead"), F.col("is_sibling"), F.col("heading"), F.col("section"), F.col("near")]
+    reasons = F.array_compact(F.array(F.lit("context_window"), *(F.when(f, F.lit(name)) for f, name in zip(flags, CONTEXT_REASONS, strict=True))))
+    return rows.select(*ids, reasons.alias("reasons"), "place")
+
+
 def near_ranges(rows: DataFrame, distance: int) -> DataFrame:
     """Pairs of rows of one parent whose unit ranges are at most ``distance`` apart. Ranges fall into buckets wider than
     the longest range that is asked for, so only neighbouring buckets meet."""

@@ -105,6 +105,37 @@ def j8(spark, d):
     return J.context_window(every.filter(F.contains("text", F.lit("that"))), every, 6)
 
 
+#: Chunks with links: sections are the parents and headings, the first letters are the section path, numbers of letters the ranges.
+_RELATED = SECTIONED + """, ch AS (SELECT document_id, document_id * 100000 + chunk_index AS chunk_id, CASE WHEN chunk_index % 7 <> 6 THEN chunk_index END AS reading_order, CASE WHEN chunk_index % 5 = 4 THEN document_id * 100000 + chunk_index // 5 END AS parent_id,
+  CASE WHEN chunk_index % 3 = 2 THEN document_id * 100000 + chunk_index - 2 END AS previous_id, CASE WHEN chunk_index % 4 = 3 THEN document_id * 100000 + chunk_index + 3 END AS next_id, 'h' || section_index AS heading_path, CASE WHEN chunk_index % 2 = 0 THEN lower(left(text, 2)) END AS section_path,
+  length(text) % 40 AS parent_start, length(text) % 40 + chunk_index % 2 AS parent_end, CASE WHEN length(text) % 3 > 0 THEN chunk_index END AS unit_start, chunk_index + chunk_index % 3 AS unit_end, text FROM sectioned),
+seeds AS (SELECT document_id // 3 AS query_id, *, length(text) % 2 = 0 AS paths, length(text) % 4 < 2 AS ranges FROM ch WHERE contains(text, 'that') AND length(text) % 5 = 0)"""
+
+
+def _related(spark, d):
+    c, size, i = sectioned(spark, d), F.char_length("text"), F.col("chunk_index")
+    at = lambda k: F.col("document_id") * 100000 + k
+    every = c.select(
+        "document_id", at(i).alias("chunk_id"), F.when(i % 7 != 6, i).alias("reading_order"), F.when(i % 5 == 4, at(F.floor(i / 5))).alias("parent_id"), F.when(i % 3 == 2, at(i - 2)).alias("previous_id"), F.when(i % 4 == 3, at(i + 3)).alias("next_id"),
+        F.concat(F.lit("h"), F.col("section_index").cast("string")).alias("heading_path"), F.when(i % 2 == 0, F.lower(F.left("text", F.lit(2)))).alias("section_path"), (size % 40).alias("parent_start"), (size % 40 + i % 2).alias("parent_end"),
+        F.when(size % 3 > 0, i).alias("unit_start"), (i + i % 3).alias("unit_end"), "text",
+    )
+    asked = every.filter(F.contains("text", F.lit("that")) & (size % 5 == 0))
+    return asked.select(F.floor(F.col("document_id") / 3).alias("query_id"), "chunk_id", (size % 2 == 0).alias("paths"), (size % 4 < 2).alias("ranges")), every.drop("text")
+
+
+@query("j8_context_relations", f"""WITH {_RELATED}, scope AS (SELECT DISTINCT query_id, document_id FROM seeds), p AS (SELECT c.document_id, c.chunk_id, c.reading_order, s.query_id,
+  s.document_id = c.document_id AND abs(s.reading_order - c.reading_order) = 1 AS r0, c.chunk_id = s.parent_id AS r1, c.chunk_id = s.previous_id OR c.chunk_id = s.next_id OR c.previous_id = s.chunk_id OR c.next_id = s.chunk_id AS r2, c.parent_id = s.parent_id AS r3,
+  s.paths AND c.heading_path = s.heading_path AS r4, s.paths AND c.section_path = s.section_path AS r5, s.ranges AND s.parent_start <= c.parent_end AND c.parent_start <= s.parent_end AND greatest(0, c.unit_start - s.unit_end, s.unit_start - c.unit_end) <= 1 AND s.unit_start IS NOT NULL AND c.unit_start IS NOT NULL AS r6
+  FROM seeds s JOIN scope USING (query_id) JOIN ch c ON c.document_id = scope.document_id),
+f AS (SELECT query_id, document_id, chunk_id, any_value(reading_order) AS reading_order, bool_or(r0) AS r0, bool_or(r1) AS r1, bool_or(r2) AS r2, bool_or(r3) AS r3, bool_or(r4) AS r4, bool_or(r5) AS r5, bool_or(r6) AS r6 FROM p GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id, reading_order NULLS LAST, chunk_id) AS place FROM f WHERE (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AND (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM seeds))
+SELECT query_id, document_id, chunk_id, concat_ws(',', 'context_window', CASE WHEN r0 THEN 'reading_order_adjacent' END, CASE WHEN r1 THEN 'parent_context' END, CASE WHEN r2 THEN 'linked_context' END, CASE WHEN r3 THEN 'sibling_context' END, CASE WHEN r4 THEN 'heading_path_context' END,
+  CASE WHEN r5 THEN 'section_path_context' END, CASE WHEN r6 THEN 'reference_range_context' END) AS reasons, place::INT AS place FROM k WHERE place <= 25""")
+def j8_relations(spark, d):
+    return J.context_relations(*_related(spark, d), 25).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("j9_near_reference_ranges", """WITH r AS (SELECT l_orderkey AS parent, l_linenumber AS id, l_partkey % 100 AS first, l_partkey % 100 + l_suppkey % 5 AS last FROM lineitem)
 SELECT DISTINCT a.parent, a.id AS a, b.id AS b, greatest(0, b.first - a.last, a.first - b.last) AS gap FROM r a JOIN r b ON a.parent = b.parent AND a.id < b.id WHERE greatest(0, b.first - a.last, a.first - b.last) <= 3""")
 def j9(spark, d):
