@@ -8,6 +8,7 @@ from siftwell.functions import arabic as A
 from siftwell.functions import matches as M
 from siftwell.operators import contracts as K
 from siftwell.operators import policies as P
+from siftwell.operators import understanding as U
 from siftwell.plans.inputs import CHUNKS, chunks, table
 from siftwell.plans.ranking_queries import PAIRS, _pairs
 
@@ -142,3 +143,49 @@ f AS (SELECT document_id, chunk_index, flatten(list_transform(t, lambda x: CASE
 SELECT document_id, chunk_index, coalesce(array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ' '), '') AS tokens FROM f""")
 def b3_forms(spark, d):
     return shaped_chunks(spark, d).select("document_id", "chunk_index", F.array_join(A.folded_tokens(F.col("text")), " ").alias("tokens"))
+
+
+#: Metadata of documents: words of the source and of the first line as domain, tags and layout, which name families here and there.
+_DOMAINS = ["law", "patient", "tax", "API", "report", "plain"]
+_ABOUT = f"""about AS (SELECT doc_id AS document_id, [{", ".join(f"'{x}'" for x in _DOMAINS)}][(length(text) % 11 + 1)::INT] AS domain, [lang, CASE WHEN n_chars % 5 = 0 THEN 'Table' WHEN n_chars % 5 = 1 THEN 'figure' END, CASE WHEN n_chars % 7 = 0 THEN 'policy' END] AS tags, source AS collection, n_chars % 3 = 0 AS hint, n_chars % 4 = 0 AS contract FROM documents)"""
+
+
+@query("b20_domain_families", f"""WITH {_ABOUT}, s AS (SELECT document_id, bool_or(hint) AS hint, bool_or(contract) AS contract, list_sort(list_distinct(flatten(list(list_filter(list_transform(list_concat([domain, collection], tags), lambda x: lower(trim(x))), lambda x: x <> ''))))) AS s FROM about GROUP BY 1),
+f AS (SELECT *, CASE WHEN len(list_intersect(s, ['legal', 'law', 'statute', 'policy', 'contract'])) > 0 THEN 'legal_reference' WHEN list_contains(s, 'patient') THEN 'medical_reference' WHEN list_contains(s, 'tax') THEN 'financial_reference' WHEN list_contains(s, 'api') THEN 'code_reference' END AS family,
+  CASE WHEN list_contains(s, 'table') THEN 'table' WHEN list_contains(s, 'figure') THEN 'figure' END AS layout FROM s),
+h AS (SELECT *, CASE WHEN family = 'financial_reference' THEN coalesce(layout, CASE WHEN hint THEN 'reference' ELSE 'table' END) WHEN family = 'code_reference' THEN layout WHEN family IS NULL AND contract THEN coalesce(layout, 'reference') ELSE coalesce(layout, CASE WHEN hint THEN 'reference' END) END AS layout_hint FROM f)
+SELECT document_id, coalesce(family, CASE WHEN contract THEN 'reference_heavy' WHEN layout IS NOT NULL THEN 'multimodal_layout' ELSE 'general' END) AS domain_profile_id,
+  coalesce(family, CASE WHEN contract THEN 'reference_heavy' WHEN layout IS NOT NULL THEN 'generic' WHEN list_contains(s, 'report') THEN 'research_semantic' ELSE 'generic' END) AS domain_family, layout_hint,
+  CASE WHEN family = 'legal_reference' AND contract THEN 'graph' WHEN family = 'code_reference' THEN 'vector' WHEN family IS NOT NULL THEN CASE WHEN layout_hint IN ('table', 'figure') THEN 'full' ELSE 'vector' END WHEN contract THEN 'graph' WHEN layout IS NOT NULL THEN 'full' ELSE 'vector' END AS materialization_hint,
+  contract AS reference_heavy, array_to_string(s, ',') AS signals FROM h""")
+def b20_families(spark, d):
+    n = F.col("n_chars")
+    about = table(spark, d, "documents").select(
+        F.col("doc_id").alias("document_id"), F.get(F.array(*map(F.lit, _DOMAINS)), (F.char_length("text") % 11).cast("int")).alias("domain"), F.array("lang", F.when(n % 5 == 0, "Table").when(n % 5 == 1, "figure"), F.when(n % 7 == 0, "policy")).alias("tags"),
+        F.col("source").alias("collection"), (n % 3 == 0).alias("hint"), (n % 4 == 0).alias("contract"),
+    )
+    flags = about.groupBy("document_id").agg(F.bool_or("hint").alias("has_reference_hint"), F.bool_or("contract").alias("has_contract"))
+    return U.classify_domain(U.domain_signals(about).join(flags, "document_id")).withColumn("signals", F.array_join("signals", ","))
+
+
+#: What users said, with a wording that asks for something put before it by turn and conversation.
+_ASKS = ["", "phrase that ", "How many: ", "give an overview of ", "Order ", "before this, "]
+
+
+@query("b21_understand_queries", f"""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, [{", ".join(f"'{x}'" for x in _ASKS)}][(conv_id + turn // 2) % {len(_ASKS)} + 1] || CASE WHEN (conv_id + turn // 2) % {len(_ASKS)} = 4 THEN conv_id || ':' || turn || ' ' ELSE '' END || string_split(text, ' ')[1] || ' ' || coalesce(string_split(text, ' ')[2], '') AS text FROM conversations WHERE role = 'user'),
+v AS (SELECT query_id, text, regexp_extract(text, '(?i)\\b(?:says|say|phrase|quote)\\b(?:\\s+(?:that|is|was|as))?\\s+(.+)', 1) AS said, list_distinct(regexp_extract_all(text, '\\b[0-9]+:[0-9]+\\b')) AS refs, regexp_matches(lower(text), '\\b(surrounding|connected|related|nearby|neighboring|previous|next|before|after|context|around)\\b') AS graph FROM a),
+w AS (SELECT *, nullif(trim(regexp_replace(lower(said), '[^0-9a-z]+', ' ', 'g')), '') AS phrase FROM v),
+i AS (SELECT *, CASE WHEN len(refs) > 0 THEN 'reference' WHEN phrase IS NOT NULL THEN 'phrase_lookup' WHEN regexp_matches(lower(text), '\\b(how many|count|number of|total)\\b') THEN 'count' WHEN regexp_matches(lower(text), '\\b(summary|summarize|overview)\\b') THEN 'summary' ELSE 'semantic' END AS intent FROM w)
+SELECT query_id, intent, CASE WHEN intent IN ('reference', 'phrase_lookup') THEN 'reference' ELSE intent END AS answer_type, CASE WHEN intent = 'count' THEN 'count_metadata_hybrid' WHEN graph THEN 'graph_context_hybrid' WHEN intent IN ('reference', 'phrase_lookup') THEN 'reference_first_hybrid' ELSE 'semantic_hybrid' END AS strategy,
+  graph AS graph_context_required, CASE WHEN intent = 'phrase_lookup' THEN phrase ELSE '' END AS required_terms, CASE WHEN intent = 'reference' THEN array_to_string(refs, ',') ELSE '' END AS reference_hints, intent IN ('reference', 'phrase_lookup') AS direct_evidence_required,
+  concat_ws('|', CASE intent WHEN 'reference' THEN 'reference_exact=' || text WHEN 'phrase_lookup' THEN 'phrase_exact=' || phrase WHEN 'count' THEN 'title_count=' || text END, 'semantic_metadata=' || q, 'vector_db=' || q, 'native_vector=' || q) AS passes
+FROM (SELECT *, CASE WHEN intent = 'phrase_lookup' THEN phrase ELSE text END AS q FROM i)""")
+def b21_understand(spark, d):
+    c = table(spark, d, "conversations").filter("role = 'user'")
+    kind = (F.col("conv_id") + F.floor(F.col("turn") / 2)) % len(_ASKS)
+    words = F.split("text", " ", -1)
+    reference = F.when(kind == 4, F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(" "))).otherwise("")
+    text = F.concat(F.get(F.array(*map(F.lit, _ASKS)), kind.cast("int")), reference, F.get(words, F.lit(0)), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+    out = U.understand_queries(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("text")), [K.Contract("{a}:{b}")])
+    passes = F.array_join(F.transform("passes", lambda p: F.concat(p["name"], F.lit("="), p["query"])), "|")
+    return out.select("query_id", "intent", "answer_type", "strategy", "graph_context_required", F.array_join("required_terms", ",").alias("required_terms"), F.array_join("reference_hints", ",").alias("reference_hints"), "direct_evidence_required", passes.alias("passes"))
