@@ -104,12 +104,13 @@ def k3(spark, d):
 
 
 def _signals(spark, d):
+    """``head``: the overlap with the title, which is the first line of a text."""
     rows = R.coverage_density(_pairs(spark, d)).withColumn("phrase", R.phrase_score(F.col("query_text"), F.col("text")))
-    overlap = R.capped_overlap(T.search_terms(F.col("query_text")), T.search_terms(F.substring("text", 1, 200)), 2.0, 12.0)
+    overlap = R.capped_overlap(T.search_terms(F.col("query_text")), T.search_terms(F.get(F.split("text", "\n", -1), F.lit(0))), 2.0, 12.0)
     return rows.withColumn("head", overlap)
 
 
-SIGNALS = f"""{PAIRS}, s0 AS (SELECT *, {TOKENS.format("substr(text, 1, 200)")} AS h FROM pairs),
+SIGNALS = f"""{PAIRS}, s0 AS (SELECT *, {TOKENS.format("string_split(text, chr(10))[1]")} AS h FROM pairs),
 signals AS (SELECT query_id, document_id, rank, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, c)) / len(q), 9) ELSE 0 END AS coverage, CASE WHEN len(c) > 0 THEN round(len(list_intersect(q, c)) / len(c), 9) ELSE 0 END AS density,
 CASE WHEN contains(lower(text), lower(query_text)) THEN 8 ELSE 0 END AS phrase, least(12.0, len(list_intersect(q, h)) * 2.0)::DOUBLE AS head FROM s0)"""
 
