@@ -213,3 +213,46 @@ def ground_answers(answers: DataFrame) -> DataFrame:
     unknown = F.filter(cited, lambda x: x > F.col("available"))
     status = F.when(F.size(unknown) > 0, "unknown_citation").when((F.size(cited) == 0) & (F.col("available") > 0), "uncited").otherwise("grounded")
     return answers.select("query_id", F.size(cited).alias("n_cited"), F.size(unknown).alias("n_unknown"), status.alias("status"))
+
+
+# Precedence of evidence by feature and tool, boosts by feature with their reasons, precedence of lanes.
+DIRECT_FEATURES = {"reference_hypothesis": 5, "reference_exact": 100, "arabic_exact": 90, "target_phrase": 80}
+DIRECT_TOOLS = {"reference_exact": 70, "reference": 70, "arabic_lexical": 60, "lexical": 60, "pgvector": 20}
+DIRECT_DEFAULT = 10
+DIRECT_BOOSTS = {"reference_exact": (100.0, "exact_reference_match"), "arabic_exact": (90.0, "direct_arabic_match"), "target_phrase": (80.0, "target_phrase_match")}
+LANES = {"metadata": 40, "reference_exact": 40, "arabic_lexical": 35, "lexical": 35, "graph": 30, "pgvector": 20, "native": 10}
+
+
+def _of(table: dict[str, int], key: Column, default: int) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key), F.lit(default))
+
+
+def fuse_candidates(candidates: DataFrame, limit: int, constant: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of a query's ranked lists with direct evidence before all else.
+
+    ``candidates (query_id, list, rank, tool, tool_rank, candidate_id, chunk_id, runtime_id, document_id, text, base_score,
+    final_score, features)``. Rows of one chunk, else of one runtime id, else of one document and text, are one candidate: it
+    scores ``1 / (constant + rank)`` for each row, and its fields are those of the row with the highest direct priority,
+    score, lane priority and the lowest tool rank, the earliest of equals. A feature of that row can add a direct boost. Order: direct
+    priority, score, lane priority, tool rank, then the key. One partial aggregate by query and key, then a top-k by query.
+    """
+    has = lambda f: F.coalesce(F.array_contains("features", f), F.lit(False))
+    direct = _of(DIRECT_TOOLS, F.col("tool"), DIRECT_DEFAULT)
+    for feature, points in reversed(DIRECT_FEATURES.items()):
+        direct = F.when(has(feature), points).otherwise(direct)
+    text_key = F.concat_ws(":", F.lit("text"), F.coalesce(F.col("document_id").cast("string"), F.lit("unknown")), F.sha1(F.lower(stripped(F.coalesce("text", F.lit(""))))))
+    key = F.coalesce(F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string")), F.concat(F.lit("runtime:"), F.col("runtime_id").cast("string")), text_key)
+    own_score = F.coalesce(F.nullif("final_score", F.lit(0.0)), F.col("base_score"), F.lit(0.0))
+    rows = candidates.withColumns({"key": key, "direct": direct, "lane_priority": _of(LANES, F.col("tool"), 0), "own_score": own_score})
+    best = F.struct("direct", "own_score", "lane_priority", -F.col("tool_rank"), -F.col("list"), -F.col("rank"))
+    kept = F.struct("candidate_id", "tool", "tool_rank", "direct", "lane_priority", "features")
+    merged = rows.groupBy("query_id", "key").agg(
+        F.max_by(kept, best).alias("c"), F.aggregate(F.sort_array(F.collect_list(1 / (constant + F.col("rank")))), F.lit(0.0), lambda a, x: a + x).alias("rrf"),
+        F.array_distinct(F.transform(F.sort_array(F.collect_set(F.struct("list", "rank", "tool"))), lambda x: x["tool"])).alias("tools"),
+    )
+    boost, reason = F.lit(0.0), F.lit(None).cast("string")
+    for feature, (points, why) in reversed(DIRECT_BOOSTS.items()):
+        found = F.coalesce(F.array_contains("c.features", feature), F.lit(False))
+        boost, reason = F.when(found, points).otherwise(boost), F.when(found, why).otherwise(reason)
+    scored = merged.select("query_id", "key", "c.candidate_id", "tools", "c.tool_rank", "c.direct", "c.lane_priority", boost.alias("direct_boost"), reason.alias("reason"), F.round(F.col("rrf") + boost, 9).alias("score"))
+    return top_k(scored, ["query_id"], [F.desc("direct"), F.desc("score"), F.desc("lane_priority"), "tool_rank", "key"], limit)

@@ -297,3 +297,30 @@ round(reference_exact + neighbor_match + exact_phrase + term_coverage * 0.5 + se
 def k1_scores(spark, d):
     score = S.weighted_score({"term_coverage": 0.5, "metadata_boost": 2.0})
     return _signed(spark, d).select("query_id", "document_id", "reference_exact", "neighbor_match", "exact_phrase", F.round("term_coverage", 9).alias("term_coverage"), F.round("semantic_density", 9).alias("semantic_density"), score.alias("score"))
+
+
+_TOOLS = {"view": "native", "click": "lexical", "error": "graph", "purchase": "reference_exact", "signup": "pgvector"}
+_CANDIDATES = """c AS (SELECT user_id AS query_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS list, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS rank,
+  CASE event_type WHEN 'view' THEN 'native' WHEN 'click' THEN 'lexical' WHEN 'error' THEN 'graph' WHEN 'purchase' THEN 'reference_exact' ELSE 'pgvector' END AS tool, event_id % 9 AS tool_rank, event_id AS candidate_id, CASE WHEN event_id % 4 > 0 THEN event_id * 7 % 40 END AS chunk_id, CASE WHEN event_id % 3 > 0 THEN event_id % 10 END AS runtime_id,
+  event_id % 5 AS document_id, props AS text, value AS base_score, CASE WHEN event_id % 6 > 0 THEN value / 2 ELSE 0 END AS final_score, list_filter([CASE WHEN value > 60 THEN 'target_phrase' END, CASE WHEN value > 90 THEN 'reference_exact' END, CASE WHEN event_id % 31 = 0 THEN 'reference_hypothesis' END], lambda x: x IS NOT NULL) AS features FROM events),
+k AS (SELECT *, coalesce('chunk:' || chunk_id, 'runtime:' || runtime_id, 'text:' || document_id || ':' || sha1(lower(trim(text)))) AS key, CASE WHEN list_contains(features, 'reference_hypothesis') THEN 5 WHEN list_contains(features, 'reference_exact') THEN 100 WHEN list_contains(features, 'target_phrase') THEN 80
+  WHEN tool = 'reference_exact' THEN 70 WHEN tool = 'lexical' THEN 60 WHEN tool = 'pgvector' THEN 20 ELSE 10 END AS direct, CASE tool WHEN 'reference_exact' THEN 40 WHEN 'lexical' THEN 35 WHEN 'graph' THEN 30 WHEN 'pgvector' THEN 20 ELSE 10 END AS lane, CASE WHEN final_score <> 0 THEN final_score ELSE base_score END AS own FROM c),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY direct DESC, own DESC, lane DESC, tool_rank, list, rank) AS r, sum(1 / (60 + rank)) OVER (PARTITION BY query_id, key) AS rrf FROM k)"""
+
+
+@query("k11_fuse_candidates", f"""WITH {_CANDIDATES}, t AS (SELECT query_id, key, string_agg(tool, ',' ORDER BY list) AS tools FROM (SELECT query_id, key, tool, min(list) AS list FROM k GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN list_contains(features, 'reference_exact') THEN 100.0 WHEN list_contains(features, 'target_phrase') THEN 80.0 ELSE 0.0 END::DOUBLE AS direct_boost, CASE WHEN list_contains(features, 'reference_exact') THEN 'exact_reference_match' WHEN list_contains(features, 'target_phrase') THEN 'target_phrase_match' END AS reason FROM w WHERE r = 1),
+s AS (SELECT *, round(rrf + direct_boost, 9) AS score FROM b)
+SELECT query_id, key, candidate_id, tools, direct_boost, reason, score, rank::INT AS rank FROM (SELECT s.query_id, s.key, candidate_id, tools, direct_boost, reason, score, row_number() OVER (PARTITION BY s.query_id ORDER BY direct DESC, score DESC, lane DESC, tool_rank, s.key) AS rank FROM s JOIN t ON t.query_id = s.query_id AND t.key = s.key) WHERE rank <= 20""")
+def k11_candidates(spark, d):
+    from pyspark.sql import Window
+
+    e, i = table(spark, d, "events"), F.col("event_id")
+    names = list(_TOOLS)
+    features = F.array_compact(F.array(F.when(F.col("value") > 60, F.lit("target_phrase")), F.when(F.col("value") > 90, F.lit("reference_exact")), F.when(i % 31 == 0, F.lit("reference_hypothesis"))))
+    rows = e.select(
+        F.col("user_id").alias("query_id"), F.array_position(F.array(*map(F.lit, names)), F.col("event_type")).alias("list"), F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")).alias("rank"),
+        F.element_at(F.create_map(*(F.lit(x) for pair in _TOOLS.items() for x in pair)), F.col("event_type")).alias("tool"), (i % 9).alias("tool_rank"), i.alias("candidate_id"), F.when(i % 4 > 0, i * 7 % 40).alias("chunk_id"), F.when(i % 3 > 0, i % 10).alias("runtime_id"),
+        (i % 5).alias("document_id"), F.col("props").alias("text"), F.col("value").alias("base_score"), F.when(i % 6 > 0, F.col("value") / 2).otherwise(0.0).alias("final_score"), features.alias("features"),
+    )
+    return R.fuse_candidates(rows, 20).select("query_id", "key", "candidate_id", F.array_join("tools", ",").alias("tools"), "direct_boost", "reason", "score", "rank")

@@ -52,3 +52,22 @@ def test_weights_veto_and_empty_queries(spark):
     out = S.with_signals(df).withColumn("score", S.weighted_score({"term_coverage": 0.5, "exact_phrase": 0.0}))
     assert {r["id"]: r["score"] for r in out.collect()} == {1: 7.0, 2: 1.0, 3: 1.0, 4: 0.0, 5: 7.0}
     assert set(df.columns) <= set(out.columns) and S.with_signals(df.limit(0)).count() == 0
+
+
+def test_fusion_of_candidates(spark):
+    """Ranks and not scores make the fused score; direct evidence comes first, a hypothesis alone comes last; copies are one candidate."""
+    from siftwell.operators.ranking import fuse_candidates
+
+    rows = [
+        (1, 1, 1, "pgvector", 1, 10, 5, None, 1, "a", 0.9, 0.0, None), (1, 2, 3, "native", 3, 11, 5, None, 1, "a", 0.1, 99.0, []), (1, 1, 2, "pgvector", 2, 12, 6, None, 1, "b", 0.8, 0.0, ["arabic_exact"]), (1, 2, 1, "native", 1, 13, 7, None, 1, "c", 0.2, 0.0, ["reference_hypothesis"]),
+        (1, 3, 1, "lexical", 1, 14, None, "r", 1, "d", 0.2, 0.0, None), (1, 3, 2, "lexical", 2, 15, None, None, None, " E ", 0.2, 0.0, None), (1, 4, 1, "graph", 1, 16, None, None, None, "e", 0.3, 0.0, None), (1, 5, 1, "reference", 1, 17, 8, None, 1, "f", 0.1, 0.0, ["reference_exact", "target_phrase"]),
+        (2, 1, 1, "odd", 1, 18, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "query_id int, list int, rank int, tool string, tool_rank int, candidate_id int, chunk_id int, runtime_id string, document_id int, text string, base_score double, final_score double, features array<string>")
+    out = [(r["candidate_id"], r["tools"], r["direct_boost"], r["reason"]) for r in fuse_candidates(df, 9).filter("query_id = 1").orderBy("rank").collect()]
+    assert out == [
+        (17, ["reference"], 100.0, "exact_reference_match"), (12, ["pgvector"], 90.0, "direct_arabic_match"), (15, ["lexical", "graph"], 0.0, None), (14, ["lexical"], 0.0, None), (10, ["pgvector", "native"], 0.0, None), (13, ["native"], 0.0, None),
+    ]
+    scores = {r["candidate_id"]: r["score"] for r in fuse_candidates(df, 9).collect()}
+    assert scores[10] == pytest.approx(1 / 61 + 1 / 63) and scores[15] == pytest.approx(1 / 62 + 1 / 61) and scores[18] == pytest.approx(1 / 61)
+    assert fuse_candidates(df, 2).filter("query_id = 1").count() == 2
