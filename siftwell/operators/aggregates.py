@@ -281,3 +281,22 @@ def baseline_gates(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     )
     metrics = F.array(*(F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"), F.lit(gate).alias("gate")) for name, gate in GATES.items()))
     return sums.select(F.explode(metrics).alias("m")).select("m.metric", F.round("m.value", 9).alias("value"), "m.gate", (F.col("m.value") >= F.col("m.gate")).alias("passed"))
+
+
+def quality_repairs(chunks: DataFrame, most: int = 25) -> DataFrame:
+    """``document_id, script_repairs, noise_downgrades, requests, statuses, samples`` of each document.
+
+    ``chunks (document_id, chunk_id, script_status, downgraded, requests array<struct<block_id: string, status: string>>)``:
+    applied repairs of scripts, downgraded warnings, requests for another reading of blocks with how often each status
+    occurs, and the first ``most`` of them. Requests are counted by partial aggregates and cut before they are gathered.
+    """
+    sums = chunks.groupBy("document_id").agg(
+        F.count_if(F.col("script_status") == "applied").alias("script_repairs"), F.coalesce(F.sum("downgraded"), F.lit(0)).cast("long").alias("noise_downgrades"), F.coalesce(F.sum(F.greatest(F.size("requests"), F.lit(0))), F.lit(0)).cast("long").alias("requests"),
+    )
+    asked = chunks.select("document_id", "chunk_id", F.posexplode("requests").alias("p", "r")).filter("r is not null")
+    counts = asked.filter("r.status != ''").groupBy("document_id", "r.status").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "status", "n"))), ",").alias("statuses"))
+    first = asked.withColumn("_r", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_id", "p"))).filter(F.col("_r") <= most)
+    samples = first.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "r.block_id"))), lambda x: x["block_id"]).alias("samples"))
+    out = sums.join(counts, "document_id", "left").join(samples, "document_id", "left")
+    return out.select("document_id", "script_repairs", "noise_downgrades", "requests", F.coalesce("statuses", F.lit("")).alias("statuses"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

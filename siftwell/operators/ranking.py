@@ -256,3 +256,31 @@ def fuse_candidates(candidates: DataFrame, limit: int, constant: int = 60) -> Da
         boost, reason = F.when(found, points).otherwise(boost), F.when(found, why).otherwise(reason)
     scored = merged.select("query_id", "key", "c.candidate_id", "tools", "c.tool_rank", "c.direct", "c.lane_priority", boost.alias("direct_boost"), reason.alias("reason"), F.round(F.col("rrf") + boost, 9).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("direct"), F.desc("score"), F.desc("lane_priority"), "tool_rank", "key"], limit)
+
+
+def order_for_intent(ranked: DataFrame, plans: DataFrame, share: float = 0.65) -> DataFrame:
+    """``ranked (query_id, rank, candidate_id, document_id, score, tool_rank)`` with ``place``: the order that the query's intent asks for.
+
+    ``plans (query_id, intent, documents, limit)``. For a query over several documents whose candidates come from more than
+    one: a comparison shows the best candidate of each document first, by score and then the lower tool rank; any other query whose first ``limit``
+    are all of one document lifts the best candidate of another one that reaches ``share`` of the first score to place two. Other
+    queries keep their order. Windows by query, over a ranked list of bounded length.
+    """
+    q = Window.partitionBy("query_id")
+    rows = ranked.join(plans.select("query_id", "intent", "documents", "limit"), "query_id")
+    known = F.col("document_id").isNotNull()
+    best = known & (F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(F.desc("score"), "rank")) == 1)
+    rows = rows.withColumns({"best": best, "seen": F.min("rank").over(Window.partitionBy("query_id", "document_id")), "top": F.col("rank") <= F.greatest("limit", F.lit(1))})
+    rows = rows.withColumns({
+        "several": (F.coalesce("documents", F.lit(0)) > 1) & (F.count_if("best").over(q) > 1), "shown": F.collect_set(F.when(F.col("top") & known, F.col("document_id"))).over(q), "lead": F.max(F.when(F.col("rank") == 1, F.col("score"))).over(q),
+    })
+    compared = F.col("several") & F.coalesce(F.col("intent") == "comparison", F.lit(False))
+    other = F.col("several") & ~compared & (F.size("shown") <= 1) & F.col("best") & ~F.array_contains("shown", F.col("document_id")) & (F.col("score") >= F.col("lead") * share)
+    order = [F.desc("score"), "tool_rank", "seen"]
+    head = F.row_number().over(Window.partitionBy("query_id", "best").orderBy(*order))
+    rows = rows.withColumns({"compared": compared, "head": F.when(F.col("best"), head), "other": other})
+    lifted = F.col("other") & (F.row_number().over(Window.partitionBy("query_id", "other").orderBy(*order)) == 1)
+    rows = rows.withColumn("lifted", lifted)
+    group = F.when(F.col("compared"), F.when(F.col("best"), 0).otherwise(1)).when(F.col("rank") == 1, 0).when(F.col("lifted"), 1).otherwise(2)
+    within = F.when(F.col("compared") & F.col("best"), F.col("head")).otherwise(F.col("rank"))
+    return rows.withColumn("place", F.row_number().over(q.orderBy(group, within))).select(*ranked.columns, "place")

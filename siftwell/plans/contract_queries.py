@@ -123,3 +123,21 @@ def g22_gates(spark, d):
     )
     cases = cases.join(results.select("query_id").distinct(), "query_id", "left_semi")
     return A.baseline_gates(cases, results, 3)
+
+
+_STATUSES = ["queued", "done", "failed", ""]
+
+
+@query("g8_repairs_of_documents", f"""WITH c AS (SELECT l_suppkey AS document_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_returnflag = 'R' AS applied, CASE WHEN l_linestatus = 'O' THEN l_quantity::BIGINT % 3 END AS downgraded, l_partkey, (l_partkey % 3)::INT AS n FROM lineitem),
+q AS (SELECT document_id, chunk_id, unnest(range(0, n)) AS p, l_partkey FROM c), r AS (SELECT document_id, chunk_id || '/' || p AS block_id, {_STATUSES}[((l_partkey + p) % 4 + 1)::INT] AS status, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id, p, l_partkey) AS k FROM q),
+s AS (SELECT document_id, count(*) FILTER (WHERE applied) AS script_repairs, coalesce(sum(downgraded), 0)::BIGINT AS noise_downgrades, sum(n)::BIGINT AS requests FROM c GROUP BY 1), n AS (SELECT document_id, status, count(*) AS n FROM r WHERE status <> '' GROUP BY 1, 2)
+SELECT document_id, script_repairs, noise_downgrades, requests, coalesce((SELECT string_agg(status || '=' || n.n, ',' ORDER BY status) FROM n WHERE n.document_id = s.document_id), '') AS statuses, coalesce((SELECT string_agg(block_id, ' ' ORDER BY k) FROM r WHERE r.document_id = s.document_id AND k <= 25), '') AS samples FROM s""")
+def g8_repairs(spark, d):
+    li = table(spark, d, "lineitem")
+    chunk = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    n = (F.col("l_partkey") % 3).cast("int")
+    every = F.transform(F.array(F.lit(0), F.lit(1)), lambda p: F.struct(F.concat_ws("/", chunk, p).alias("block_id"), F.element_at(F.array(*map(F.lit, _STATUSES)), ((F.col("l_partkey") + p) % 4 + 1).cast("int")).alias("status")))
+    rows = li.select(
+        F.col("l_suppkey").alias("document_id"), chunk.alias("chunk_id"), F.when(F.col("l_returnflag") == "R", "applied").otherwise("skipped").alias("script_status"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("long") % 3).alias("downgraded"), F.slice(every, F.lit(1), n).alias("requests"),
+    )
+    return A.quality_repairs(rows).withColumn("samples", F.array_join("samples", " "))

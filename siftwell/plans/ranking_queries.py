@@ -324,3 +324,22 @@ def k11_candidates(spark, d):
         (i % 5).alias("document_id"), F.col("props").alias("text"), F.col("value").alias("base_score"), F.when(i % 6 > 0, F.col("value") / 2).otherwise(0.0).alias("final_score"), features.alias("features"),
     )
     return R.fuse_candidates(rows, 20).select("query_id", "key", "candidate_id", F.array_join("tools", ",").alias("tools"), "direct_boost", "reason", "score", "rank")
+
+
+_PLANNED = """r AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_id AS candidate_id, CASE WHEN event_id % 11 > 0 THEN CASE WHEN user_id % 5 = 0 THEN 1 WHEN value > 12 + user_id % 30 THEN user_id ELSE event_id % 4 END END AS document_id, round(value / 10) AS score, event_id % 6 AS tool_rank,
+  CASE user_id % 3 WHEN 0 THEN 'comparison' WHEN 1 THEN 'semantic' END AS intent, user_id % 4 AS documents, user_id % 7 AS lim FROM events)"""
+
+
+@query("k13_order_for_intent", f"""WITH {_PLANNED}, b AS (SELECT *, document_id IS NOT NULL AND row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, rank) = 1 AS best, min(rank) OVER (PARTITION BY query_id, document_id) AS seen FROM r),
+n AS (SELECT query_id, count(*) FILTER (WHERE best) AS docs, list(DISTINCT document_id) FILTER (WHERE rank <= greatest(lim, 1) AND document_id IS NOT NULL) AS shown, max(score) FILTER (WHERE rank = 1) AS lead FROM b GROUP BY 1),
+m AS (SELECT b.*, documents > 1 AND docs > 1 AND intent IS NOT DISTINCT FROM 'comparison' AS compared, documents > 1 AND docs > 1 AND intent IS DISTINCT FROM 'comparison' AND len(coalesce(shown, [])) <= 1 AND best AND NOT list_contains(coalesce(shown, []), document_id) AND score >= lead * 0.65 AS other FROM b JOIN n USING (query_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id, best ORDER BY score DESC, tool_rank, seen) AS head, other AND row_number() OVER (PARTITION BY query_id, other ORDER BY score DESC, tool_rank, seen) = 1 AS lifted FROM m)
+SELECT query_id, rank::INT AS rank, candidate_id, document_id, score, tool_rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN compared THEN (NOT best)::INT WHEN rank = 1 THEN 0 WHEN lifted THEN 1 ELSE 2 END, CASE WHEN compared AND best THEN head ELSE rank END)::INT AS place FROM h""")
+def k13_intent(spark, d):
+    from pyspark.sql import Window
+
+    e, u, i = table(spark, d, "events"), F.col("user_id"), F.col("event_id")
+    document = F.when(i % 11 > 0, F.when(u % 5 == 0, F.lit(1).cast("long")).when(F.col("value") > 12 + u % 30, u).otherwise(i % 4))
+    ranked = e.select(u.alias("query_id"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"), i.alias("candidate_id"), document.alias("document_id"), F.round(F.col("value") / 10).alias("score"), (i % 6).alias("tool_rank"))
+    plans = e.select(u.alias("query_id"), F.when(u % 3 == 0, "comparison").when(u % 3 == 1, "semantic").alias("intent"), (u % 4).alias("documents"), (u % 7).alias("limit")).distinct()
+    return R.order_for_intent(ranked, plans)
