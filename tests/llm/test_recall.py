@@ -1,10 +1,12 @@
 """Recall on rows of other kinds than those of the given tables."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import vector_search
+from siftwell.llm import line_dedup, vector_search
 
 
 def recall(spark, x, kind="float", k=5):
@@ -37,3 +39,19 @@ def test_queries_unlike_the_other_vectors(spark):
     x = families[rng.integers(0, 100, 4000)] + 1e-2 * rng.normal(size=(4000, 64))
     x[::50] = rng.normal(size=(80, 64))
     assert recall(spark, x) >= 0.97
+
+
+def test_lines_with_a_letter_changed_in_many_words(spark):
+    """One letter in 20, 30 and 40 % of the words, an edit similarity of 0.9 or more: nearly every pair is joined."""
+    rng, rows = random.Random(2), []
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for i in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(8, 60))]
+        own = list(w)
+        for at in rng.sample(range(len(w)), round((0.2, 0.3, 0.4)[i % 3] * len(w))):
+            k = rng.randrange(len(own[at]))
+            own[at] = own[at][:k] + "z" + own[at][k + 1 :]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(own))]
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").collect()}
+    assert all(i % 2 for i in gone)
+    assert [sum(2 * i + 1 in gone for i in range(j, 150, 3)) >= 45 for j in range(3)] == [True] * 3
