@@ -91,3 +91,54 @@ def test_an_id_with_two_texts(spark, order):
     df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")
     got = minhash.near_duplicates(df, width=4).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+def _recorded(monkeypatch):
+    """What the line dedup writes: lists of the tables by name."""
+    written, write = {}, line_dedup.materialise
+
+    def record(df, name):
+        written.setdefault(name, []).append(write(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(line_dedup, "materialise", record)
+    return written
+
+
+def _lines_of_one_passage(rng):
+    """60 lines that share two long words and no more, ten in a document, and a near copy of the last."""
+    own = lambda: [f"word{rng.randrange(10**9)}" for _ in range(20)]
+    lines = [["passage", "shared", *own()] for _ in range(60)]
+    rows = [(i, "\n".join(" ".join(w) for w in lines[10 * i : 10 * i + 10])) for i in range(6)]
+    return [*rows, (6, " ".join([*lines[-1][:-1], "other"]))]
+
+
+def test_texts_of_verified_lines_only(spark, monkeypatch):
+    """Lines that share a key, but whose SimHashes differ, must not be written with their texts."""
+    monkeypatch.setattr(line_dedup, "block_keys", lambda hashes: F.array(F.lit(1).cast("long")))
+    written = _recorded(monkeypatch)
+    df = spark.createDataFrame(_lines_of_one_passage(random.Random(4)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).filter("n_dropped > 0").collect()} == {6}
+    close = [t.select(F.explode(F.array("a", "b"))).distinct().count() for t in written["close-lines"]]
+    assert [t.count() for t in written["line-texts"]] == close and sum(close) < 20
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_places_sent_by_document(spark, monkeypatch, most):
+    """The places that a scan of the texts gets have a row for each document, not for each line; nothing changes if they are too many to be broadcast."""
+    monkeypatch.setattr(line_dedup, "block_keys", lambda hashes: F.array(F.lit(1).cast("long")))
+    if most is not None:
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+    written = _recorded(monkeypatch)
+    df = spark.createDataFrame(_lines_of_one_passage(random.Random(4)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).filter("n_dropped > 0").collect()} == {6}
+    assert written["line-places"][0].count() == 7 and all(t.count() <= 7 for t in written["line-places"])
+
+
+def test_copies_of_a_document_in_line_dedup(spark):
+    """Rows that are equal in id and text keep the same lines, and their lines are described once."""
+    rng = random.Random(8)
+    own = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(1, " ".join(own[:30]) + "\n" + " ".join(own[30:]))] * 3 + [(2, " ".join([*own[:29], "x"]) + "\n" + " ".join([*own[30:-1], "y"]))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(1, 0), (1, 0), (1, 0), (2, 2)]
