@@ -1,4 +1,4 @@
-"""Warnings on candidates, diagnostics, repairs, layout relations and set similarity."""
+"""Warnings on candidates, diagnostics, repairs and layout relations."""
 
 from __future__ import annotations
 
@@ -70,27 +70,6 @@ def seed_fusion(candidates: DataFrame, boosts: dict[str, float]) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "identity")))
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(a, b, similarity)`` of rows ``(id, terms)`` with a Jaccard similarity of ``threshold`` or more, exactly.
-
-    Equal sets are folded to their least id first. Terms are ordered by frequency, rarest first; two similar sets share
-    a term among their first ``n - ceil(threshold * n) + 1``, so only these are joined; sizes are compared before sets.
-    """
-    folded = sets.filter(F.size("terms") > 0).withColumn("terms", F.sort_array("terms")).groupBy("terms").agg(F.min("id").alias("id"))
-    counts = folded.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ordered = folded.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(counts, "term")
-    ordered = ordered.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "term")))
-    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id"))  # terms of this set only come first of all
-    prefix = ordered.withColumn("alone", alone).filter(F.col("place") + F.col("alone") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1)
-    left = prefix.select("term", F.col("id").alias("a"), F.col("size").alias("sa"))
-    right = prefix.select("term", F.col("id").alias("b"), F.col("size").alias("sb"))
-    near = left.join(right, "term").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)).select("a", "b").distinct()
-    full = near.join(folded.select(F.col("id").alias("a"), F.col("terms").alias("ta")), "a").join(folded.select(F.col("id").alias("b"), F.col("terms").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    scored = full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("s"))
-    return scored.filter(F.col("s") >= threshold - 1e-12).select("a", "b", F.round("s", 9).alias("similarity"))
-
-
 def annotate_warnings(candidates: DataFrame, warnings: DataFrame) -> DataFrame:
     """Warning codes on candidates, and how many candidates of each query carry one."""
     codes = warnings.groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import search_terms
 from siftwell.operators import chunking as C
 from siftwell.operators import evidence as E
+from siftwell.operators.similar_sets import similar_sets
 from siftwell.plans.inputs import _TRIM, BLOCKS, CHUNKS, WARNINGS, blocks, chunks, table, warnings
 from siftwell.plans.join_queries import BOXES, boxes
 from siftwell.plans.ranking_queries import FUSION, PAIRS, TOKENS, _pairs, retrieval
@@ -101,7 +102,7 @@ def k15(spark, d):
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS n, len(a.t) + len(b.t) AS total FROM f a JOIN f b ON a.id < b.id AND len(a.t) >= 0.65 * len(b.t) - 1e-9 AND len(b.t) >= 0.65 * len(a.t) - 1e-9)
 SELECT a, b, round(n / (total - n), 9) AS similarity FROM p WHERE n >= 0.65 * (total - n) - 1e-9""")
 def k17(spark, d):
-    return E.similar_sets(table(spark, d, "documents").select(F.col("doc_id").alias("id"), search_terms(F.col("text")).alias("terms")), 0.65)
+    return similar_sets(table(spark, d, "documents").select(F.col("doc_id").alias("id"), search_terms(F.col("text")).alias("terms")), 0.65)
 
 
 @query("k19_warning_annotation", f"""WITH {WARNINGS}, c AS (SELECT document_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM warnings GROUP BY 1), q AS (SELECT user_id AS query_id, event_id, event_id * 7 % 1200 AS document_id FROM events)
