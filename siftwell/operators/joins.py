@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from siftwell.sources.contracts import written
 
+#: Tables of so many bytes may be broadcast. The driver holds them about twice while it builds the table.
+BROADCAST_BYTES = 64_000_000
+#: Bytes of a term with its query in such a table.
+TERM_BYTES = 100
+
 
 def lexical_prefilter(terms: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """Chunks that hold the terms of a query as substrings: those with all terms, or with any if none has all.
@@ -35,6 +40,25 @@ def lexical_prefilter(terms: DataFrame, chunks: DataFrame, limit: int) -> DataFr
     return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "document_id", "chunk_index", "matched", "place")
 
 
+def first_hits(terms: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """``query_id, document_id, chunk_index, rank``: the first ``limit`` chunks, by document and place, that hold any of a
+    query's ``terms (query_id, term)`` as substrings.
+
+    ``terms`` are three or more of a to z and 0 to 9, so one lies inside one run of these. Terms are broadcast to a scan of
+    the chunks, where each three characters of a run look for terms that begin with them. A task hands on a query's first ``limit``
+    chunks only, so neither texts nor tokens nor all hits are shuffled.
+    """
+    wanted = written(terms.distinct(), "terms").withColumn("gram", F.substring("term", 1, 3))
+    hint = F.broadcast if wanted.count() * TERM_BYTES <= BROADCAST_BYTES else lambda df: df
+    runs = chunks.select("document_id", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("run"))
+    grams = runs.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("run") - 2))).withColumn("gram", F.substring("run", F.col("at"), F.lit(3)))
+    found = grams.join(hint(wanted.select("gram", "term").distinct()), "gram").filter(F.substring("run", F.col("at"), F.char_length("term")) == F.col("term"))
+    hits = found.select("document_id", "chunk_index", "term").join(hint(wanted.select("term", "query_id")), "term")
+    # A chunk may come several times; those are ties, and Spark prunes by the rank before the shuffle (window group limit).
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("document_id"), "chunk_index")
+    return hits.select("query_id", "document_id", "chunk_index", F.dense_rank().over(order).alias("rank")).filter(F.col("rank") <= limit).distinct()
+
+
 def reference_prefilter(references: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks whose ``preview_ref`` is one of a query's references, if they are eligible."""
     return references.select("query_id", "reference").distinct().join(chunks.filter("eligible"), F.col("reference") == F.col("preview_ref")).drop("reference", "eligible")
@@ -273,8 +297,6 @@ def project_graph(rows: DataFrame, known_types: list[str]) -> tuple[DataFrame, D
     return edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct(), edges
 
 
-#: Seeds of so many bytes may be broadcast to :func:`near_range_pairs`, with their cells. The driver holds them about twice.
-BROADCAST_BYTES = 64_000_000
 #: Bytes of a range of seeds with its cells, six on average, and how many ids a row of seeds has at most, on average over its hash.
 RANGE_BYTES = 600
 BLOCK_IDS = 1 << 20

@@ -218,10 +218,7 @@ def j13(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id, chunk_index) AS rank FROM m)
 SELECT query_id, document_id, chunk_index, round(greatest(0.01, 1.0 / rank), 9)::DOUBLE AS score FROM r LEFT JOIN labels ON doc_id = document_id WHERE rank <= 100 AND coalesce(quality = 1, true)""")
 def j14(spark, d):
-    terms = query_terms(spark, d)
-    one_by_one = terms.withColumn("query_id", F.struct("query_id", "term"))
-    hits = J.lexical_prefilter(one_by_one, chunks(spark, d), 1 << 30).select("query_id.query_id", "document_id", "chunk_index").distinct()
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index"))).filter("rank <= 100")
+    ranked = J.first_hits(query_terms(spark, d), chunks(spark, d), 100)
     policy = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("index_vector"))
     kept = C.policy_filter(ranked.join(policy, "document_id", "left"), "index_vector")
     return kept.select("query_id", "document_id", "chunk_index", F.round(F.greatest(F.lit(0.01), 1 / F.col("rank")), 9).alias("score"))
